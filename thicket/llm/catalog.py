@@ -6,8 +6,9 @@ from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from thicket.llm import balanced, leaks, mixing
+from thicket.llm import balanced, leaks, mixing, neighbours, overlap, vectors
 from thicket.plans.runtime import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +98,39 @@ d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents),
 h AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 11], ' ') AS run FROM d, unnest(range(1, len(w) - 10)) AS t(i))
 SELECT DISTINCT doc_id, item_id FROM g JOIN h USING (run)
 """
+
+
+@query
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    found = overlap.overlaps(table(spark, d, "snode"), table(spark, d, "subgraph"))
+    return found.select(F.least("held_id", "train_id").alias("node_lo"), F.greatest("held_id", "train_id").alias("node_hi")).distinct()
+
+
+@query
+def p1_overlaps(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.overlaps(table(spark, d, "snode"), table(spark, d, "subgraph"))
+
+
+@query
+def p1_report(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.report(overlap.overlaps(table(spark, d, "snode"), table(spark, d, "subgraph")))
+
+
+def _knn(spark: SparkSession, d: str, probes: DataFrame) -> DataFrame:
+    """Neighbours of the samples in ``probes`` (``probe_id, node_id``) among all usable vectors."""
+    samples = table(spark, d, "snode")
+    usable = vectors.usable(samples, table(spark, d, "subgraph"), "bestk")
+    wanted = probes.select("probe_id", F.col("node_id").alias("_n"))
+    asked = usable.join(wanted, F.col("node_id") == F.col("_n")).select("probe_id", "node_id", "d", "feat", F.col("bestk").alias("k"))
+    return neighbours.neighbours(usable, asked)
+
+
+@query
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _knn(spark, d, table(spark, d, "knn_probe")).select("probe_id", "node_id")
+
+
+@query
+def p5_knn(spark: SparkSession, d: str) -> DataFrame:
+    samples = table(spark, d, "snode").filter(F.col("node_id") % 50 == 0).select(F.col("node_id").alias("probe_id"), "node_id").distinct()
+    return _knn(spark, d, samples).withColumnRenamed("probe_id", "query_id")
