@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thicket.llm import balanced, leaks, mixing, neighbours, overlap, vectors
+from thicket.llm import balanced, groups, leaks, mixing, neighbours, overlap, vectors
 from thicket.plans.runtime import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,3 +134,13 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 def p5_knn(spark: SparkSession, d: str) -> DataFrame:
     samples = table(spark, d, "snode").filter(F.col("node_id") % 50 == 0).select(F.col("node_id").alias("probe_id"), "node_id").distinct()
     return _knn(spark, d, samples).withColumnRenamed("probe_id", "query_id")
+
+
+@query
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return groups.linked(vectors.usable(table(spark, d, "snode"), table(spark, d, "subgraph")))
+
+
+@query
+def p4_groups(spark: SparkSession, d: str) -> DataFrame:
+    return groups.describe(vectors.usable(table(spark, d, "snode"), table(spark, d, "subgraph")))
