@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thicket.llm import balanced, groups, leaks, mixing, neighbours, overlap, vectors
+from thicket.llm import balanced, groups, leaks, mixing, neighbours, overlap, sentences, vectors
 from thicket.plans.runtime import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -144,3 +144,15 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p4_groups(spark: SparkSession, d: str) -> DataFrame:
     return groups.describe(vectors.usable(table(spark, d, "snode"), table(spark, d, "subgraph")))
+
+
+@query
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return sentences.sentences(docs.filter("doc_class = 'prose'"), sentences.fit(docs.filter("doc_class = 'prose'"))).distinct()
+
+
+@query
+def p9_sentences(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return sentences.sentences(docs, sentences.fit(docs.filter("doc_class = 'prose'")))
