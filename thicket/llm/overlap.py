@@ -9,8 +9,14 @@ runs, the training side one. Joined fingerprints are seeds; seeds of a pair lie
 diagonal (same place) and are chained by counting; the pair is then aligned over all
 dimensions, which decides it exactly.
 
-Equal vectors form a class; classes are fingerprinted and joined, members are put back last,
-so a group of copies of any size costs one row until the result itself lists its pairs.
+A posting carries a sketch, the cells of up to ``FIELDS`` dimensions modulo 8, and a joined
+pair whose sketches differ by two cells or more in more than ``bad`` dimensions is dropped at
+once: it cannot match. Vectors are never shuffled, only postings are; those of the classes
+that are left are read again for the alignment.
+
+Equal vectors form a class (a 128-bit hash); each partition posts a class once, and members
+are put back last, so a group of copies of any size stays small until the result itself lists
+its pairs.
 A fingerprint held by more than ``hot`` training classes is not joined as it stands: its
 classes post it again together with each of ``bad + 1`` runs of the remaining dimensions, of
 which one must be untouched too, so the join stays exact and selective.
@@ -36,7 +42,11 @@ TOLERANCE, BAD, SHORTEST = 0.02, 2, 16
 #: Training classes that may share a fingerprint before it is refined.
 HOT = 2000
 #: Readings of a run that the grid aims at, and the longest run.
-READINGS, LONGEST = 6.0, 8
+READINGS, LONGEST = 3.5, 8
+#: The sketch: dimensions and cell width of its 3-bit fields.
+FIELDS, FIELD = 21, 0.04
+_ONES = sum(1 << (3 * j) for j in range(FIELDS))
+_TOP = _ONES << 2
 _K = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -111,13 +121,36 @@ def _runs(x: np.ndarray, tol: float, bad: int, wide: bool, *salt: int) -> list[t
     return out
 
 
+def sketch(x: np.ndarray) -> np.ndarray:
+    """Cells of the first FIELDS dimensions modulo 8, three bits each."""
+    out = np.zeros(len(x), np.int64)
+    for j in range(min(FIELDS, x.shape[1])):
+        out |= (_cells(x[:, j], FIELD) & 7) << (3 * j)
+    return out
+
+
+def _differing(a: Column, b: Column) -> Column:
+    """Fields of two sketches that lie two cells or more apart: surely differing dimensions."""
+    top, ones, low = F.lit(_TOP), F.lit(_ONES), F.lit(~_TOP)
+    minus = (a.bitwiseOR(top) - b.bitwiseAND(low)).bitwiseXOR(a.bitwiseXOR(F.bitwise_not(b)).bitwiseAND(top))
+    plus = (minus.bitwiseAND(low) + ones).bitwiseXOR(minus.bitwiseAND(top))
+    far = F.shiftright(plus, 2).bitwiseOR(F.shiftright(plus, 1).bitwiseAND(plus)).bitwiseAND(ones)
+    return F.bit_count(far)
+
+
 def _post(wide: bool, tol: float, bad: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()
         for b in batches:
+            b = b.drop_duplicates("c1")
+            fresh = np.array([c not in seen for c in b.c1.tolist()], bool)
+            b = b[fresh]
+            seen.update(b.c1.tolist())
             for _, part, x in vectors.by_width(b):
                 ids, x = part.c1.to_numpy(), x.astype(np.float64)
+                marks = sketch(x)
                 for _, row, fp in _runs(x, tol + 1e-6, bad, wide):
-                    yield pd.DataFrame({"fp": fp, "c": ids[row]})
+                    yield pd.DataFrame({"fp": fp, "c": ids[row], "mark": marks[row]})
 
     return run
 
@@ -129,7 +162,7 @@ def _repost(wide: bool, tol: float, bad: int):
         for b in batches:
             for d, part, x in vectors.by_width(b):
                 ids, x = part.c1.to_numpy(), x.astype(np.float64)
-                hot = [set(h) for h in part.hot]
+                marks, hot = sketch(x), [set(h) for h in part.hot]
                 k = max(1, min(d // (bad + 1), LONGEST))
                 for place, row, fp in _runs(x, tol + 1e-6, bad, wide):
                     use = np.array([f in hot[r] for r, f in zip(row.tolist(), fp.tolist())], bool)
@@ -138,26 +171,25 @@ def _repost(wide: bool, tol: float, bad: int):
                     row, fp = row[use], fp[use]
                     rest = np.delete(x[row], np.s_[place : place + k], 1)
                     for _, row2, fp2 in _runs(rest, tol + 1e-6, bad, wide, 7):
-                        yield pd.DataFrame({"fp": _mix((fp[row2].view(np.uint64) * _K) ^ fp2.view(np.uint64)), "c": ids[row[row2]]})
+                        at = row[row2]
+                        yield pd.DataFrame({"fp": _mix((fp[row2].view(np.uint64) * _K) ^ fp2.view(np.uint64)), "c": ids[at], "mark": marks[at]})
 
     return run
 
 
-def _classes(samples: DataFrame, subgraph: DataFrame, shortest: int) -> tuple[DataFrame, DataFrame]:
+_POSTED = "fp long, c long, mark long"
+
+
+def _rows(samples: DataFrame, subgraph: DataFrame, shortest: int) -> DataFrame:
     meta = subgraph.select(F.col("subgraph_id").alias("_sid"), "split").dropDuplicates(["_sid"])
     whole = F.transform("feat", lambda v: F.coalesce(v, F.lit(float("nan")).cast("float")))
-    rows = (
+    return (
         samples.select("node_id", "subgraph_id", "source", whole.alias("feat"))
         .filter(F.col("node_id").isNotNull() & (F.size("feat") >= shortest))
         .join(meta, F.col("subgraph_id") == F.col("_sid"))
         .filter(F.col("split").isin("train", "eval", "test"))
-        .withColumn("c1", F.xxhash64("feat"))
-        .withColumn("c2", F.xxhash64(F.lit("second"), "feat"))
-        .withColumn("train", F.col("split") == "train")
+        .select("node_id", "source", "split", "feat", F.size("feat").alias("d"), F.xxhash64("feat").alias("c1"), F.xxhash64(F.lit("second"), "feat").alias("c2"))
     )
-    classes = rows.groupBy("c1", "c2").agg(F.first("feat").alias("feat"), F.max("train").alias("train"), F.max(~F.col("train")).alias("held"))
-    members = rows.groupBy("c1", "c2", "node_id").agg(F.min(F.struct("split", "source")).alias("s")).select("c1", "c2", "node_id", "s.split", "s.source")
-    return classes.withColumn("d", F.size("feat")), members
 
 
 def _aligned(a: Column, b: Column, tol: float) -> Column:
@@ -172,26 +204,33 @@ def overlaps(samples: DataFrame, subgraph: DataFrame, tol: float = TOLERANCE, ba
     ``held_id, held_split, held_source, train_id, train_source, seeds, matched, coverage``:
     ``seeds`` counts the shared fingerprints, ``matched`` the agreeing dimensions.
     """
-    classes, members = _classes(samples, subgraph, shortest)
-    classes = cut(classes)
-    slim = classes.select("c1", "d", "feat", "train", "held")
-    one = slim.filter("train").mapInPandas(_post(False, tol, bad), "fp long, c long")
-    many = slim.filter("held").mapInPandas(_post(True, tol, bad), "fp long, c long")
-    crowded = cut(one.groupBy("fp").count().filter(F.col("count") > hot).select("fp"))
+    rows = _rows(samples, subgraph, shortest)
+    sides = {"t": (rows.filter("split = 'train'"), False), "h": (rows.filter("split != 'train'"), True)}
+    posts = {s: r.select("c1", "d", "feat").mapInPandas(_post(wide, tol, bad), _POSTED) for s, (r, wide) in sides.items()}
+
+    def met(one: DataFrame, many: DataFrame) -> DataFrame:
+        left = one.repartition("fp").dropDuplicates(["fp", "c"]).select("fp", F.col("c").alias("t"), F.col("mark").alias("tm"))
+        right = many.repartition("fp").dropDuplicates(["fp", "c"]).select("fp", F.col("c").alias("h"), F.col("mark").alias("hm"))
+        return left.join(right, "fp").filter(_differing(F.col("tm"), F.col("hm")) <= bad).select("t", "h")
+
+    crowded = cut(posts["t"].groupBy("fp").count().filter(F.col("count") > hot).select("fp"))
     if crowded.isEmpty():
-        seeds = one.withColumnRenamed("c", "t").join(many.withColumnRenamed("c", "h"), "fp")
+        seeds = met(posts["t"], posts["h"])
     else:
-        crowd = sized_broadcast(crowded)
-        plain = one.join(crowd, "fp", "left_anti").withColumnRenamed("c", "t").join(many.withColumnRenamed("c", "h"), "fp")
-        fine = None
-        for side, posts, wide in (("t", one, False), ("h", many, True)):
-            mine = posts.join(crowd, "fp").groupBy(F.col("c").alias("c1")).agg(F.collect_set("fp").alias("hot"))  # at most the readings of a class
-            again = slim.filter("train" if side == "t" else "held").join(mine, "c1").mapInPandas(_repost(wide, tol, bad), "fp long, c long").withColumnRenamed("c", side)
-            fine = again if fine is None else fine.join(again, "fp")
-        seeds = plain.select("t", "h").unionByName(fine.select("t", "h"))
-    chained = seeds.groupBy("t", "h").agg(F.count("*").alias("seeds"))
-    left = classes.filter("train").select(F.col("c1").alias("t"), F.col("c2").alias("t2"), F.col("d").alias("td"), F.col("feat").alias("tf"))
-    right = classes.filter("held").select(F.col("c1").alias("h"), F.col("c2").alias("h2"), F.col("d").alias("hd"), F.col("feat").alias("hf"))
+        crowd, fine = sized_broadcast(crowded), {}
+        for s, (r, wide) in sides.items():
+            mine = posts[s].join(crowd, "fp").groupBy(F.col("c").alias("c1")).agg(F.collect_set("fp").alias("hot"))  # at most the readings of a class
+            once = r.join(mine, "c1").groupBy("c1", "c2").agg(F.first("feat").alias("feat"), F.first("d").alias("d"), F.first("hot").alias("hot"))
+            fine[s] = once.mapInPandas(_repost(wide, tol, bad), _POSTED)
+        seeds = met(posts["t"].join(crowd, "fp", "left_anti"), posts["h"]).unionByName(met(fine["t"], fine["h"]))
+    chained = cut(seeds.groupBy("t", "h").agg(F.count("*").alias("seeds")))
+    # the classes that met, and their members
+    names = chained.select(F.col("t").alias("c1")).unionByName(chained.select(F.col("h").alias("c1"))).distinct()
+    near = cut(rows.join(sized_broadcast(names), "c1", "left_semi"))
+    classes = near.groupBy("c1", "c2").agg(F.first("feat").alias("feat"), F.first("d").alias("d"))
+    members = near.groupBy("c1", "c2", "node_id").agg(F.min(F.struct("split", "source")).alias("s")).select("c1", "c2", "node_id", "s.split", "s.source")
+    left = classes.select(F.col("c1").alias("t"), F.col("c2").alias("t2"), F.col("d").alias("td"), F.col("feat").alias("tf"))
+    right = classes.select(F.col("c1").alias("h"), F.col("c2").alias("h2"), F.col("d").alias("hd"), F.col("feat").alias("hf"))
     pairs = (
         chained.join(left, "t")
         .join(right, "h")
