@@ -10,6 +10,9 @@ Which files a query visits follows from bounds: some file holds k vectors within
 bisector bounds put all its vectors beyond that. The result is therefore exact for any pivots;
 they only decide how much is skipped.
 
+A file is kept in rings of distance to its pivot, each twice as wide as the last, so a few far
+postings do not blur the bounds of a tight core; far rings of ``MERGED`` files share a block.
+
 Pivots are ``PIVOTS_PER_ROOT`` times the square root of the number of vectors, ``MAX_PIVOTS``
 at most; every vector is indexed. Posting files over ``FILE_ROWS`` are salted into blocks, so a
 hot pivot or a group of copies is shared by many tasks.
@@ -27,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from thicket.llm import vectors
@@ -36,8 +39,10 @@ from thicket.plans.runtime import cut
 PIVOTS_PER_ROOT, MAX_PIVOTS, PREFIX = 0.7, 2048, 6
 #: Postings of a block, and the largest k that the file radii serve (larger k visits more).
 FILE_ROWS, RADIUS_RANK = 16_000, 32
+#: Rings of a file, the first of those that are merged, and the files merged into a block.
+RINGS, OUTER, MERGED = 8, 3, 16
 _POSTED = "d int, cell int, node_id long, far double, perm binary, vec binary"
-_VISIT = "d int, cell int, salt int, probe_id long, self_id long, k int, far double, perm binary, vec binary"
+_VISIT = "d int, box int, salt int, probe_id long, self_id long, k int, top double, perm binary, vec binary"
 _FOUND = "probe_id long, k int, node_id long, distance double"
 
 
@@ -89,61 +94,68 @@ def _visits(shared):
                     continue
                 piv, f = pivots[d], files[d]
                 between = np.sqrt(vectors.squared(piv, piv))
-                for lo in range(0, len(x), 256):
-                    y, sub = x[lo : lo + 256], part.iloc[lo : lo + 256]
+                for lo in range(0, len(x), 128):
+                    y, sub = x[lo : lo + 128], part.iloc[lo : lo + 128]
                     order, dist = _nearest(y, piv)
-                    first = order[:, 0]
-                    k = sub.k.to_numpy()
-                    for i in range(len(y)):
-                        # a bound on the distance of the k-th neighbour; one place more for the query itself
-                        rank = min(int(k[i]), RADIUS_RANK)
-                        top = (dist[i] + f["near"][:, rank]).min() if k[i] <= RADIUS_RANK else np.inf
-                        gap = np.maximum(between[first[i]], 1e-12)
-                        bisect = np.where(gap > 1e-9, (dist[i] ** 2 - dist[i, first[i]] ** 2) / (2 * gap), 0)
-                        bound = np.maximum(dist[i] - f["radius"], bisect)
-                        go = np.flatnonzero((bound <= top * (1 + 1e-6) + 1e-6) & (f["n"] > 0))
-                        salts = f["salts"][go]
-                        cell = np.repeat(go, salts)
-                        salt = np.concatenate([np.arange(s) for s in salts]) if len(go) else np.zeros(0, int)
-                        row = sub.iloc[i]
-                        yield pd.DataFrame({"d": d, "cell": cell, "salt": salt, "probe_id": row.probe_id, "self_id": row.node_id, "k": int(k[i]), "far": dist[i, cell], "perm": [order[i].astype(np.int16).tobytes()] * len(cell), "vec": [y[i].tobytes()] * len(cell)})
+                    k = sub.k.to_numpy(np.int64)
+                    # a bound on the distance of the k-th neighbour; one rank more for the query itself
+                    top = np.array([(dist[i] + f["near"][:, j]).min() if j <= RADIUS_RANK else np.inf for i, j in enumerate(k.tolist())])
+                    top = top * (1 + 1e-6) + 1e-6
+                    own = dist[np.arange(len(y)), order[:, 0]]
+                    gap = between[order[:, 0]]
+                    bisect = np.where(gap > 1e-9, (dist**2 - own[:, None] ** 2) / (2 * np.maximum(gap, 1e-9)), 0)
+                    at = dist[:, f["cell"]]
+                    bound = np.maximum(np.maximum(at - f["hi"], f["lo"] - at), bisect[:, f["cell"]])
+                    row, file = np.nonzero(bound <= top[:, None])
+                    go = np.unique(np.stack([row, f["box"][file]], 1), axis=0)
+                    row, box = go[:, 0], go[:, 1]
+                    salts = f["salts"][np.searchsorted(f["boxes"], box)]
+                    row, box = np.repeat(row, salts), np.repeat(box, salts)
+                    salt = np.arange(len(row)) - np.repeat(np.cumsum(salts) - salts, salts)
+                    perm, vec = np.array([o.astype(np.int16).tobytes() for o in order] + [b""], object)[:-1], np.array([v.tobytes() for v in y] + [b""], object)[:-1]
+                    yield pd.DataFrame({"d": d, "box": box, "salt": salt, "probe_id": sub.probe_id.to_numpy()[row], "self_id": sub.node_id.to_numpy()[row], "k": k[row], "top": top[row], "perm": perm[row], "vec": vec[row]})
 
     return run
 
 
 def _search(posts: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
-    """One block of a posting file and the queries that visit it."""
+    """One block of postings and the queries that visit it."""
     none = pd.DataFrame({"probe_id": np.zeros(0, np.int64), "k": np.zeros(0, np.int32), "node_id": np.zeros(0, np.int64), "distance": np.zeros(0)})
     if not len(posts) or not len(asks):
         return none
     posts = posts.drop_duplicates("node_id").sort_values("node_id")
-    d = int(posts.d.iloc[0])
-    x = np.frombuffer(b"".join(posts.vec), np.float32).reshape(-1, d).astype(np.float64)
-    perm = np.frombuffer(b"".join(posts.perm), np.int16).reshape(len(x), -1)
-    far, ids = posts.far.to_numpy(), posts.node_id.to_numpy()
-    m, out = perm.shape[1], []
-    place = np.full(int(perm.max()) + 1, m, np.int16)
-    steps = np.arange(m, dtype=np.int16)
-    for a in asks.itertuples(index=False):
-        q = np.frombuffer(a.vec, np.float32).astype(np.float64)
-        mine = np.frombuffer(a.perm, np.int16)
-        seen = mine < len(place)
-        place[mine[seen]] = steps[: len(mine)][seen]
-        foot = np.abs(place[perm] - steps).sum(1)
-        place[mine[seen]] = m
-        k = int(a.k)
-        first = min(len(x), max(64, 8 * (k + 1)))
-        head = np.argpartition(foot, first - 1)[:first]
-        top = ((x[head] - q) ** 2).sum(1)
-        top = top[ids[head] != a.self_id]
-        limit = np.sqrt(np.partition(top, k - 1)[k - 1]) if len(top) >= k else np.inf
-        left = np.flatnonzero((np.abs(far - a.far) <= limit * (1 + 1e-6) + 1e-6) & (ids != a.self_id))
-        dist = ((x[left] - q) ** 2).sum(1)
-        take = np.lexsort((ids[left], dist))[:k] if len(left) < 4 * k else None
-        if take is None:
-            near = np.flatnonzero(dist <= np.partition(dist, k - 1)[k - 1])
-            take = near[np.lexsort((ids[left][near], dist[near]))[:k]]
-        out.append(pd.DataFrame({"probe_id": a.probe_id, "k": k, "node_id": ids[left][take], "distance": np.sqrt(dist[take])}))
+    d, n = int(posts.d.iloc[0]), len(posts)
+    x = np.frombuffer(b"".join(posts.vec), np.float32).reshape(n, d).astype(np.float64)
+    perm = np.frombuffer(b"".join(posts.perm), np.int16).reshape(n, -1)
+    ids, m = posts.node_id.to_numpy(), perm.shape[1]
+    q = np.frombuffer(b"".join(asks.vec), np.float32).reshape(-1, d).astype(np.float64)
+    mine = np.frombuffer(b"".join(asks.perm), np.int16).reshape(len(q), -1)
+    ks, selves, tops, probes = asks.k.to_numpy(), asks.self_id.to_numpy(), asks.top.to_numpy(), asks.probe_id.to_numpy()
+    width, steps, out = int(max(perm.max(), mine.max())) + 1, np.arange(m, dtype=np.int8), []
+    for lo in range(0, len(q), max(1, 2_000_000 // n)):
+        part = slice(lo, lo + max(1, 2_000_000 // n))
+        y, a = q[part], mine[part]
+        place = np.full((len(y), width), m, np.int8)
+        np.put_along_axis(place, a.astype(np.int64), steps[None, : a.shape[1]], 1)
+        foot = np.zeros((len(y), n), np.int8)
+        for j in range(m):
+            foot += np.abs(place[:, perm[:, j]] - steps[j])
+        dist = vectors.squared(y, x)
+        dist[ids[None] == selves[part, None]] = np.inf
+        k = ks[part]
+        # the postings with the best footrule are reranked first; their k-th bounds the rest
+        first = min(n, max(32, 2 * int(k.max())))
+        head = np.take_along_axis(dist, np.argpartition(foot, first - 1, axis=1)[:, :first], 1)
+        head.sort(1)
+        limit = np.minimum(tops[part], np.sqrt(np.where(k <= first, head[np.arange(len(y)), np.minimum(k, first) - 1], np.inf)))
+        row, col = np.nonzero((dist <= ((limit * (1 + 1e-9) + 1e-9) ** 2)[:, None]) & np.isfinite(dist))
+        true = ((x[col] - y[row]) ** 2).sum(1)
+        order = np.lexsort((ids[col], true, row))
+        row, col, true = row[order], col[order], true[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        keep = rank < k[row]
+        row, col = row[keep], col[keep]
+        out.append(pd.DataFrame({"probe_id": probes[part][row], "k": k[row], "node_id": ids[col], "distance": np.sqrt(true[keep])}))
     return pd.concat(out) if out else none
 
 
@@ -159,42 +171,52 @@ def neighbours(index: DataFrame, queries: DataFrame, per_root: float = PIVOTS_PE
         return spark.createDataFrame([], "probe_id long, node_id long, distance double, rank int")
     shared = spark.sparkContext.broadcast(pivots)
     posted = cut(index.select("node_id", "d", "feat").mapInPandas(_index(shared), _POSTED))
-    files = _file_table(posted, pivots, block)
+    files, scale = _file_table(posted, pivots, block)
     book = spark.sparkContext.broadcast((pivots, files))
     asks = queries.filter("k > 0").select("probe_id", "node_id", "d", "feat", "k").dropDuplicates(["probe_id"])
     visits = asks.mapInPandas(_visits(book), _VISIT)
-    salts = spark.createDataFrame([(d, int(c), int(s)) for d, f in files.items() for c, s in enumerate(f["salts"]) if s > 1] or [(-1, 0, 1)], "d int, cell int, salts int")
-    salted = posted.join(F.broadcast(salts), ["d", "cell"], "left").withColumn("salt", F.pmod(F.xxhash64("node_id"), F.coalesce("salts", F.lit(1))).cast("int"))  # at most MAX_PIVOTS rows a width
-    hits = salted.groupBy("d", "cell", "salt").cogroup(visits.groupBy("d", "cell", "salt")).applyInPandas(_search, _FOUND)
+    shared_boxes = [(d, int(b), int(n)) for d, f in files.items() for b, n in zip(f["boxes"], f["salts"]) if n > 1]
+    salts = spark.createDataFrame(shared_boxes, "d int, box int, salts int")
+    boxed = posted.withColumn("box", _box(F.col("cell"), _ring(scale)))
+    salted = boxed.join(F.broadcast(salts), ["d", "box"], "left").withColumn("salt", F.pmod(F.xxhash64("node_id"), F.coalesce("salts", F.lit(1))).cast("int"))  # at most RINGS * MAX_PIVOTS rows a width
+    slim = salted.select("d", "box", "salt", "node_id", "perm", "vec")
+    hits = slim.groupBy("d", "box", "salt").cogroup(visits.groupBy("d", "box", "salt")).applyInPandas(_search, _FOUND)
     best = Window.partitionBy("probe_id").orderBy("distance", "node_id")
     return hits.withColumn("rank", F.row_number().over(best)).filter("rank <= k").select("probe_id", "node_id", "distance", "rank")
 
 
-def _file_table(posted: DataFrame, pivots: dict[int, np.ndarray], block: int) -> dict[int, dict[str, np.ndarray]]:
-    """Size, radius, radii of the nearest postings and number of blocks of every file."""
+def _ring(scale: dict[int, float]) -> Column:
+    """Ring of a posting: each ring is twice as wide as the one before."""
+    unit = F.lit(1.0)
+    for d, v in scale.items():
+        unit = F.when(F.col("d") == d, v).otherwise(unit)
+    return F.least(F.floor(F.log2(F.col("far") / unit + 1)), F.lit(RINGS - 1)).cast("int")
 
-    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: dict[tuple[int, int], tuple[int, float, np.ndarray, np.ndarray]] = {}
-        for b in batches:
-            for key, g in b.groupby(["d", "cell"]):
-                n, radius, far, ids = best.get(key, (0, 0.0, np.zeros(0), np.zeros(0, np.int64)))
-                far, ids = np.concatenate([far, g.far.to_numpy()]), np.concatenate([ids, g.node_id.to_numpy()])
-                ids, at = np.unique(ids, return_index=True)
-                order = np.argsort(far[at], kind="stable")[: RADIUS_RANK + 1]
-                best[key] = (n + len(g), max(radius, float(g.far.max())), far[at][order], ids[order])
-        if best:
-            yield pd.DataFrame([(d, c, n, r, far.tolist(), ids.tolist()) for (d, c), (n, r, far, ids) in best.items()], columns=["d", "cell", "n", "radius", "far", "ids"])
-
-    parts = posted.select("d", "cell", "node_id", "far").mapInPandas(local, "d int, cell int, n long, radius double, far array<double>, ids array<long>")
-    rank = Window.partitionBy("d", "cell").orderBy("f", "id")
-    near = parts.select("d", "cell", F.explode(F.arrays_zip("far", "ids")).alias("z")).groupBy("d", "cell", F.col("z.ids").alias("id")).agg(F.min("z.far").alias("f"))
-    near = near.withColumn("r", F.row_number().over(rank)).filter(F.col("r") <= RADIUS_RANK + 1).groupBy("d", "cell").agg(F.array_sort(F.collect_list("f")).alias("near"))
-    table = parts.groupBy("d", "cell").agg(F.sum("n").alias("n"), F.max("radius").alias("radius")).join(near, ["d", "cell"]).toPandas()  # one row a pivot
-    out = {}
+
+def _box(cell: Column, ring: Column) -> Column:
+    return F.when(ring < OUTER, cell * RINGS + ring).otherwise(-1 - F.floor(cell / MERGED)).cast("int")
+
+
+def _file_table(posted: DataFrame, pivots: dict[int, np.ndarray], block: int) -> tuple[dict[int, dict[str, np.ndarray]], dict[int, float]]:
+    """Files by ring with their bounds, the radii of their nearest postings, and blocks."""
+    rank = Window.partitionBy("d", "cell").orderBy("far", "node_id")
+    # equal (far, node) are redeliveries; dense_rank counts them once
+    low = posted.select("d", "cell", "far", "node_id").withColumn("r", F.dense_rank().over(rank)).filter(F.col("r") <= RADIUS_RANK + 1)
+    low = low.groupBy("d", "cell", "r").agg(F.first("far").alias("far")).toPandas()  # RADIUS_RANK + 1 rows a pivot
+    near, scale = {}, {}
     for d, piv in pivots.items():
-        n, radius, inner = np.zeros(len(piv), np.int64), np.zeros(len(piv)), np.full((len(piv), RADIUS_RANK + 1), np.inf)
-        for r in table[table.d == d].itertuples():
-            n[r.cell], radius[r.cell] = r.n, r.radius
-            inner[r.cell, : len(r.near)] = r.near
-        out[d] = {"n": n, "radius": radius, "near": inner, "salts": np.maximum(1, -(-n // block))}
-    return out
+        mine = low[low.d == d]
+        near[d] = np.full((len(piv), RADIUS_RANK + 1), np.inf)
+        near[d][mine.cell, mine.r - 1] = mine.far
+        core = near[d][:, RADIUS_RANK // 2]
+        core = core[np.isfinite(core) & (core > 0)]
+        scale[d] = float(np.median(core)) if len(core) else 1.0
+    ring = posted.select("d", "cell", "far").withColumn("ring", _ring(scale))
+    table = ring.groupBy("d", "cell", "ring").agg(F.count("*").alias("n"), F.min("far").alias("lo"), F.max("far").alias("hi")).withColumn("box", _box(F.col("cell"), F.col("ring"))).toPandas()  # RINGS rows a pivot
+    out = {}
+    for d in pivots:
+        t = table[table.d == d].sort_values(["cell", "ring"])
+        boxes, inverse = np.unique(t.box.to_numpy(), return_inverse=True)
+        rows = np.bincount(inverse, t.n, len(boxes))
+        out[d] = {"near": near[d], "cell": t.cell.to_numpy(), "lo": t.lo.to_numpy(), "hi": t.hi.to_numpy(), "box": t.box.to_numpy(), "boxes": boxes, "salts": np.maximum(1, -(-rows // block)).astype(np.int64)}
+    return out, scale
