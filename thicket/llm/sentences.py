@@ -390,9 +390,12 @@ def train(texts: list[str | None], epochs: int = EPOCHS) -> Tagger:
 
 def fit(documents: DataFrame, docs: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> Tagger:
     """A tagger trained on a bounded sample of the documents that hold text."""
-    filled = documents.filter(F.length("text") > 0).select("doc_id", F.substring("text", 1, chars).alias("text"))
-    sample = filled.orderBy(F.xxhash64(F.lit("sentences"), "doc_id"), "text").limit(docs)
-    return train([r.text for r in sample.collect()])  # at most docs * chars characters
+    filled = documents.filter(F.length("text") > 0)
+    rate = min(1.0, docs / max(1, filled.count()))
+    u = F.pmod(F.xxhash64(F.lit("sentences"), "doc_id"), F.lit(1 << 40)) / float(1 << 40)
+    # about docs rows of at most chars characters, whatever the size of the corpus
+    sample = filled.filter(u < rate).select("doc_id", F.substring("text", 1, chars).alias("text")).collect()
+    return train([r.text for r in sorted(sample, key=lambda r: (r.doc_id is None, r.doc_id, r.text))])
 
 
 def sentences(documents: DataFrame, tagger: Tagger) -> DataFrame:
