@@ -5,16 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from thicket.operators import hierarchy, parsing
-from thicket.plans.runtime import table
+from thicket.functions.distances import DISTANCES
+from thicket.operators import clustering, evaluate, hierarchy, maxtree, pairwise, parsing, prepare, spanning, supervised
+from thicket.plans.runtime import cut, table
+from thicket.sources import ascii as text_form
+from thicket.sources import samples as data
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p3_found(spark, sf_dir)
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """Split, train, classify and score."""
+    train, test = prepare.split(data.embeddings(spark, d), 0.5)
+    return evaluate.balanced_accuracy(supervised.classify(supervised.fit(train), test))
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -110,3 +116,437 @@ j AS (SELECT raw_id, subgraph_id, fields, feats, CASE WHEN broken THEN 'quoting'
 """
 ORACLE["p6_found"] = _P6 + "SELECT DISTINCT raw_id, reason FROM j WHERE reason IS NOT NULL"
 ORACLE["p6_loaded"] = _P6 + "SELECT raw_id, subgraph_id, CAST(fields[1] AS DECIMAL(38,0)) AS position, CAST(fields[2] AS INTEGER) AS truelabel, CAST(feats AS FLOAT[]) AS feat FROM j WHERE reason IS NULL"
+
+
+# Reference operators. SQL below reads samples as s(p, y, f).
+_EMB = "s AS (SELECT CAST(vec_id AS BIGINT) AS p, label + 1 AS y, CAST(embedding AS DOUBLE[]) AS f FROM embeddings)"
+_EMB_POS = "s AS (SELECT CAST(vec_id AS BIGINT) AS p, label + 1 AS y, list_transform(CAST(embedding AS DOUBLE[]), lambda v: abs(v)) AS f FROM embeddings)"
+_EMB3 = "s AS (SELECT CAST(vec_id AS BIGINT) AS p, 1 + CAST(f[1] > 0 AS INT) + 2 * CAST(f[2] > 0 AS INT) AS y, f[1:3] AS f FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS f FROM embeddings))"
+_LINE = """s AS (SELECT CAST(l_orderkey AS BIGINT) * 16 + CAST(l_linenumber AS BIGINT) AS p, CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END AS y,
+  [CAST(l_quantity AS DOUBLE), CAST(l_extendedprice AS DOUBLE), CAST(l_discount AS DOUBLE), CAST(l_tax AS DOUBLE)] AS f FROM lineitem)"""
+
+
+def _term(expr: str) -> str:
+    return f"list_sum(list_transform(list_zip(a.f, b.f), lambda z: {expr}))"
+
+
+_SQ = _term("(z[1] - z[2]) * (z[1] - z[2])")
+_LOG = f"100000 * ln({_SQ} + 1)"
+
+_SQL_DISTANCE = {
+    "euclidean_classic": _SQ,
+    "euclidean_standard": f"sqrt({_SQ})",
+    "euclid_log": _LOG,
+    "gaussian(1.0)": f"exp(-sqrt({_SQ}))",
+    "chi_square_classic": "sqrt(" + _term("pow(z[1] / list_sum(a.f) - z[2] / list_sum(b.f), 2) / (z[1] + z[2] + 1e-9)") + ")",
+    "chi_square_standard": _term("CASE WHEN z[1] + z[2] > 0 THEN (z[1] - z[2]) * (z[1] - z[2]) / (z[1] + z[2]) ELSE 0 END"),
+    "manhattan": _term("abs(z[1] - z[2])"),
+    "canberra_classic": _term("CASE WHEN abs(z[1] + z[2]) > 0 THEN abs(z[1] - z[2]) / abs(z[1] + z[2]) ELSE 0 END"),
+    "canberra_standard": _term("CASE WHEN z[1] + z[2] > 0 THEN abs(z[1] - z[2]) / (abs(z[1]) + abs(z[2])) ELSE 0 END"),
+    "squared_chord": _term("CASE WHEN z[1] >= 0 AND z[2] >= 0 THEN pow(sqrt(greatest(z[1], 0)) - sqrt(greatest(z[2], 0)), 2) ELSE 0 END"),
+    "squared_chi_squared": _term("CASE WHEN abs(z[1] + z[2]) > 0 THEN (z[1] - z[2]) * (z[1] - z[2]) / abs(z[1] + z[2]) ELSE 0 END"),
+    "bray_curtis_classic": _term("CASE WHEN z[1] + z[2] > 0 THEN abs(z[1] - z[2]) / (z[1] + z[2]) ELSE 0 END"),
+    "bray_curtis_standard": _term("abs(z[1] - z[2])") + " / " + _term("z[1] + z[2]"),
+}
+#: Metrics that are meant for non-negative features.
+_POSITIVE = {"chi_square_classic", "chi_square_standard", "squared_chord", "squared_chi_squared", "bray_curtis_classic", "bray_curtis_standard"}
+
+
+def _distance_query(metric: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        s = data.embeddings(spark, d, metric in _POSITIVE).select("position", "feat")
+        after = s.select((F.col("position") - 1).alias("position"), F.col("position").alias("j"), F.col("feat").alias("other"))
+        return s.join(after, "position").select(F.col("position").alias("i"), "j", F.round(DISTANCES[metric].column(F.col("feat"), F.col("other")), 3 if metric == "euclid_log" else 6).alias("d"))
+
+    return run
+
+
+for _name, _expr in _SQL_DISTANCE.items():
+    _key = "dist_" + _name.replace("(1.0)", "")
+    QUERIES[_key] = _distance_query(_name)
+    ORACLE[_key] = f"WITH {_EMB_POS if _name in _POSITIVE else _EMB} SELECT a.p AS i, b.p AS j, round({_expr}, {3 if _name == 'euclid_log' else 6}) AS d FROM s a JOIN s b ON b.p = a.p + 1"
+
+
+@query
+def distance_matrix(spark: SparkSession, d: str) -> DataFrame:
+    return pairwise.distance_matrix(data.embeddings3(spark, d)).select("i", "j", F.round("d", 6).alias("d"))
+
+
+@query
+def distance_matrix_normalized(spark: SparkSession, d: str) -> DataFrame:
+    return pairwise.distance_matrix(data.embeddings3(spark, d), "manhattan", True).select("i", "j", F.round("d", 6).alias("d"))
+
+
+@query
+def distance_matrix_symmetric(spark: SparkSession, d: str) -> DataFrame:
+    return pairwise.symmetric_matrix(data.embeddings3(spark, d)).select("i", "j", F.round("d", 6).alias("d"))
+
+
+ORACLE["distance_matrix"] = ORACLE["distance_matrix_symmetric"] = f"WITH {_EMB3} SELECT a.p AS i, b.p AS j, round(sqrt({_SQ}), 6) AS d FROM s a, s b"
+ORACLE["distance_matrix_normalized"] = f"WITH {_EMB3}, m AS (SELECT a.p AS i, b.p AS j, {_SQL_DISTANCE['manhattan']} AS d FROM s a, s b) SELECT i, j, round(d / (SELECT max(d) FROM m), 6) AS d FROM m"
+
+
+@query
+def info(spark: SparkSession, d: str) -> DataFrame:
+    return prepare.info(data.lines(spark, d))
+
+
+ORACLE["info"] = f"WITH {_LINE} SELECT count(*) AS nnodes, max(y) AS nlabels, max(len(f)) AS nfeats FROM s"
+
+
+@query
+def ascii_export(spark: SparkSession, d: str) -> DataFrame:
+    return text_form.to_lines(data.embeddings3(spark, d))
+
+
+@query
+def ascii_parse(spark: SparkSession, d: str) -> DataFrame:
+    return text_form.parse_lines(text_form.to_lines(data.embeddings3(spark, d)))
+
+
+@query
+def ascii_check(spark: SparkSession, d: str) -> DataFrame:
+    raw = table(spark, d, "raw_line").filter("fmt = 'txt'").select(F.col("raw_id").alias("line_no"), "line")
+    return text_form.check(raw, 20, 8)
+
+
+_LINES = "list_transform(f, lambda v: format('{:.6f}', v))"
+ORACLE["ascii_export"] = f"WITH {_EMB3} SELECT p AS position, p || ' ' || y || ' ' || array_to_string({_LINES}, ' ') AS line FROM s"
+ORACLE["ascii_parse"] = f"WITH {_EMB3} SELECT p AS position, y AS truelabel, CAST({_LINES} AS DOUBLE[]) AS feat FROM s"
+ORACLE["ascii_check"] = rf"""
+WITH p AS (SELECT raw_id AS line_no, string_split_regex(trim(line, ' '), '[ \t]+') AS p FROM raw_line WHERE fmt = 'txt')
+SELECT line_no, coalesce(len(p) = 22 AND regexp_full_match(p[1], '[0-9]+') AND regexp_full_match(p[2], '[0-9]+') AND coalesce(TRY_CAST(p[2] AS BIGINT) BETWEEN 1 AND 8, false)
+  AND len(list_filter(p[3:22], lambda x: NOT regexp_full_match(x, '{_NUMBER}'))) = 0, false) AS ok FROM p
+"""
+
+
+@query
+def normalize(spark: SparkSession, d: str) -> DataFrame:
+    return prepare.normalize(data.lines(spark, d)).select("position", F.transform("feat", lambda v: F.round(v, 6)).alias("feat"))
+
+
+@query
+def normalize_per_fold(spark: SparkSession, d: str) -> DataFrame:
+    return prepare.normalize(prepare.kfold(data.embeddings3(spark, d), 5), ("fold",)).select("position", "fold", F.transform("feat", lambda v: F.round(v, 6)).alias("feat"))
+
+
+def _z(by: str) -> str:
+    return f"""w AS (SELECT s.*, unnest(range(1, len(f) + 1)) AS j FROM s), t AS (SELECT {by} j, avg(f[j]) AS m, stddev_pop(f[j]) AS sd FROM w GROUP BY ALL),
+u AS (SELECT {by} 1 AS one, list(m ORDER BY j) AS ms, list(sd ORDER BY j) AS sds FROM t GROUP BY ALL)
+SELECT p AS position, {by} list_transform(list_zip(f, ms, sds), lambda z: round((z[1] - z[2]) / CASE WHEN z[3] > 0 THEN z[3] ELSE 1 END, 6)) AS feat FROM (SELECT *, 1 AS one FROM s) JOIN u USING ({by} one)"""
+
+
+ORACLE["normalize"] = f"WITH {_LINE}, {_z('')}"
+_FOLD = "s AS (SELECT *, (row_number() OVER (PARTITION BY y ORDER BY p) - 1) % 5 AS fold FROM s0)"
+ORACLE["normalize_per_fold"] = f"WITH {_EMB3.replace('s AS', 's0 AS', 1)}, {_FOLD}, {_z('fold, ')}"
+
+
+@query
+def split_two_way(spark: SparkSession, d: str) -> DataFrame:
+    a, b = prepare.split(data.lines(spark, d), 0.3)
+    return a.select("position", F.lit(1).alias("part")).unionByName(b.select("position", F.lit(2).alias("part")))
+
+
+@query
+def split_three_way(spark: SparkSession, d: str) -> DataFrame:
+    return prepare.split3(data.embeddings(spark, d), 0.5, 0.25, 0.25).select("position", "truelabel", "part")
+
+
+def _sql_split(source: str, out: str, share: str, seed: int) -> str:
+    return f"""{out}_r AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY md5(p || ':{seed}'), p) AS r, count(*) OVER (PARTITION BY y) AS n FROM {source}),
+{out} AS (SELECT p, y, f, r <= greatest(CAST(floor(n * CAST({share} AS DOUBLE)) AS BIGINT), 1) AS one FROM {out}_r)"""
+
+
+ORACLE["split_two_way"] = f"WITH {_LINE}, {_sql_split('s', 'k', '0.3', 1)} SELECT p AS position, CASE WHEN one THEN 1 ELSE 2 END AS part FROM k"
+ORACLE["split_three_way"] = f"""WITH {_EMB}, {_sql_split('s', 'k', '0.75', 1)}, rest AS (SELECT p, y, f FROM k WHERE one), {_sql_split('rest', 'm', '0.5::DOUBLE / 0.75::DOUBLE', 2)}
+SELECT p AS position, y AS truelabel, 'test' AS part FROM k WHERE NOT one UNION ALL SELECT p, y, CASE WHEN one THEN 'train' ELSE 'eval' END FROM m"""
+
+
+@query
+def kfold_round_robin(spark: SparkSession, d: str) -> DataFrame:
+    return prepare.kfold(data.lines(spark, d), 10).select("position", "fold")
+
+
+@query
+def kfold_random(spark: SparkSession, d: str) -> DataFrame:
+    return prepare.random_kfold(data.embeddings(spark, d), 4).select("position", "fold")
+
+
+@query
+def merge(spark: SparkSession, d: str) -> DataFrame:
+    one = data.parts(spark, d)
+    return prepare.merge(one, one.filter("truelabel <= 5")).select("position", "truelabel", F.transform("feat", lambda v: F.round(v, 2)).alias("feat"))
+
+
+ORACLE["kfold_round_robin"] = f"WITH {_LINE} SELECT p AS position, (row_number() OVER (PARTITION BY y ORDER BY p) - 1) % 10 AS fold FROM s"
+ORACLE["kfold_random"] = f"""WITH {_EMB}, r AS (SELECT p, row_number() OVER (PARTITION BY y ORDER BY md5(p || ':1'), p) - 1 AS r, greatest(count(*) OVER (PARTITION BY y) // 4, 1) AS e FROM s)
+SELECT p AS position, CAST(least(r // e, 3) AS INT) AS fold FROM r"""
+_PART = "s AS (SELECT CAST(p_partkey AS BIGINT) AS p, CAST(('0x' || substr(md5(p_type), 1, 4)) AS INT) % 25 + 1 AS y, [round(CAST(p_size AS DOUBLE), 2), round(CAST(p_retailprice AS DOUBLE), 2)] AS f FROM part)"
+ORACLE["merge"] = f"WITH {_PART} SELECT p AS position, y AS truelabel, f AS feat FROM s UNION ALL SELECT p, y, f FROM s WHERE y <= 5"
+
+
+def _guessed(spark: SparkSession, d: str) -> DataFrame:
+    """Line items with a made-up prediction, by quantity and discount."""
+    guess = F.when(F.col("feat")[0] < 20, 1).when(F.col("feat")[2] < 0.05, 2).otherwise(3)
+    return data.lines(spark, d).withColumn("label", guess)
+
+
+_GUESS = f"{_LINE}, g AS (SELECT p, y, CASE WHEN f[1] < 20 THEN 1 WHEN f[3] < 0.05 THEN 2 ELSE 3 END AS l FROM s)"
+
+
+@query
+def balanced_accuracy(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.balanced_accuracy(_guessed(spark, d)).select(F.round("accuracy", 6).alias("accuracy"))
+
+
+@query
+def confusion_matrix(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.confusion(_guessed(spark, d))
+
+
+@query
+def move_misclassified(spark: SparkSession, d: str) -> DataFrame:
+    kept, moved, _ = prepare.move_misclassified(_guessed(spark, d), data.lines(spark, d).filter("truelabel = 1"))
+    return kept.select("position", F.lit("source").alias("side")).unionByName(moved.select("position", F.lit("target").alias("side")))
+
+
+@query
+def run_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.run_statistics(table(spark, d, "lineitem").select(F.col("l_quantity").cast("double").alias("value"))).select(F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "runs")
+
+
+ORACLE["balanced_accuracy"] = f"""WITH {_GUESS}, c AS (SELECT y, count(*) AS n, sum(CASE WHEN l <> y THEN 1 ELSE 0 END) AS miss FROM g GROUP BY y),
+e AS (SELECT l, count(*) AS x FROM g WHERE l <> y GROUP BY l)
+SELECT round(1 - sum(coalesce(x, 0) / ((SELECT count(*) FROM g) - n) + miss / n) / (2 * count(*)), 6) AS accuracy FROM c LEFT JOIN e ON e.l = c.y"""
+ORACLE["confusion_matrix"] = f"WITH {_GUESS} SELECT y AS truelabel, l AS label, count(*) AS n FROM g GROUP BY ALL"
+ORACLE["move_misclassified"] = f"WITH {_GUESS} SELECT p AS position, 'source' AS side FROM g WHERE l = y UNION ALL SELECT p, 'target' FROM g WHERE y = 1 UNION ALL SELECT p, 'target' FROM g WHERE l <> y"
+ORACLE["run_statistics"] = "SELECT round(avg(CAST(l_quantity AS DOUBLE)), 6) AS mean, round(stddev_pop(CAST(l_quantity AS DOUBLE)), 6) AS std, count(l_quantity) AS runs FROM lineitem"
+
+_KNN = f"""{_EMB}, e AS (SELECT a.p AS i, b.p AS j, {_LOG} AS d FROM s a, s b WHERE a.p <> b.p),
+k AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j) AS rank FROM e QUALIFY rank <= 8)"""
+
+
+def _arcs(spark: SparkSession, d: str) -> DataFrame:
+    return pairwise.knn_graph(data.embeddings(spark, d), 8)
+
+
+@query
+def knn_graph(spark: SparkSession, d: str) -> DataFrame:
+    return _arcs(spark, d).select("i", "j", F.round("d", 3).alias("d"), "rank")
+
+
+@query
+def knn_radius(spark: SparkSession, d: str) -> DataFrame:
+    return pairwise.radius(_arcs(spark, d)).select("position", F.round("radius", 3).alias("radius"))
+
+
+@query
+def knn_maxdist_per_k(spark: SparkSession, d: str) -> DataFrame:
+    return pairwise.max_per_rank(_arcs(spark, d)).select("rank", F.round("max_d", 3).alias("max_d"))
+
+
+@query
+def pdf(spark: SparkSession, d: str) -> DataFrame:
+    return clustering.density(cut(_arcs(spark, d))).select("position", F.round("dens", 6).alias("dens"))
+
+
+@query
+def elim_height(spark: SparkSession, d: str) -> DataFrame:
+    return clustering.drop_height(clustering.density(cut(_arcs(spark, d))), 50.0).select("position", F.round("pathval", 6).alias("pathval"))
+
+
+@query
+def plateau_arcs(spark: SparkSession, d: str) -> DataFrame:
+    level = data.embeddings(spark, d).select("position", (F.col("position") % 5).cast("double").alias("dens"))
+    return pairwise.plateau_arcs(_arcs(spark, d), level).select("i", "j")
+
+
+@query
+def normalized_cut(spark: SparkSession, d: str) -> DataFrame:
+    return clustering.normalized_cut(_arcs(spark, d), data.embeddings(spark, d).select("position", F.col("truelabel").alias("label"))).select(F.round("cut", 6).alias("cut"))
+
+
+_DENS = f"""{_KNN}, raw AS (SELECT i AS position, sum(exp(-d / (2 * (SELECT max(d) FROM k) / 9))) / (count(*) + 1) AS v FROM k GROUP BY i),
+dens AS (SELECT position, 999 * (v - (SELECT min(v) FROM raw)) / ((SELECT max(v) FROM raw) - (SELECT min(v) FROM raw)) + 1 AS dens FROM raw)"""
+ORACLE["knn_graph"] = f"WITH {_KNN} SELECT i, j, round(d, 3) AS d, rank FROM k"
+ORACLE["knn_radius"] = f"WITH {_KNN} SELECT i AS position, round(max(d), 3) AS radius FROM k GROUP BY i"
+ORACLE["knn_maxdist_per_k"] = f"WITH {_KNN} SELECT rank, round(max(d), 3) AS max_d FROM k GROUP BY rank"
+ORACLE["pdf"] = f"WITH {_DENS} SELECT position, round(dens, 6) AS dens FROM dens"
+ORACLE["elim_height"] = f"WITH {_DENS} SELECT position, round(greatest(dens - 50, 0), 6) AS pathval FROM dens"
+ORACLE["plateau_arcs"] = f"WITH {_KNN} SELECT j AS i, i AS j FROM k WHERE i % 5 = j % 5 AND (j, i) NOT IN (SELECT (i, j) FROM k)"
+ORACLE["normalized_cut"] = f"""WITH {_KNN}, w AS (SELECT a.y AS l, a.y = b.y AS same, 1 / k.d AS w FROM k JOIN s a ON a.p = k.i JOIN s b ON b.p = k.j WHERE k.d > 0),
+c AS (SELECT sum(CASE WHEN same THEN 0 ELSE w END) / sum(w) AS c FROM w GROUP BY l) SELECT round(sum(c), 6) AS cut FROM c"""
+
+_PRIM = f"""e AS MATERIALIZED (SELECT a.p AS i, b.p AS j, {_LOG} AS w FROM s a, s b WHERE a.p <> b.p),
+prim(node, pred, w, step) USING KEY (node) AS (
+  SELECT CAST(0 AS BIGINT), CAST(-1 AS BIGINT), CAST(0 AS DOUBLE), 0
+  UNION (SELECT j, i, w, step + 1 FROM (
+    SELECT e.j, e.i, e.w, (SELECT max(step) FROM recurring.prim) AS step FROM e JOIN recurring.prim p ON p.node = e.i
+    WHERE e.j NOT IN (SELECT node FROM recurring.prim) ORDER BY e.w, least(e.i, e.j), greatest(e.i, e.j) LIMIT 1))),
+mst AS MATERIALIZED (SELECT node AS i, pred AS j, w FROM prim WHERE pred >= 0 UNION ALL SELECT pred, node, w FROM prim WHERE pred >= 0)"""
+_PROTO = "proto AS MATERIALIZED (SELECT DISTINCT m.i FROM mst m JOIN s a ON a.p = m.i JOIN s b ON b.p = m.j WHERE a.y <> b.y)"
+_COST = """cost(node, c) USING KEY (node) AS (
+  SELECT i, CAST(0 AS DOUBLE) FROM proto
+  UNION (SELECT m.j, min(greatest(k.c, m.w)) FROM cost k JOIN mst m ON m.i = k.node LEFT JOIN recurring.cost r ON r.node = m.j
+         WHERE r.c IS NULL OR greatest(k.c, m.w) < r.c GROUP BY m.j))"""
+_S3 = _EMB3.replace("s AS (", "s AS MATERIALIZED (", 1)
+
+
+@query
+def mst_edges(spark: SparkSession, d: str) -> DataFrame:
+    return spanning.spanning_tree(data.embeddings3(spark, d)).select("a", "b", F.round("d", 3).alias("d"))
+
+
+@query
+def prototypes(spark: SparkSession, d: str) -> DataFrame:
+    s = data.embeddings3(spark, d)
+    return spanning.prototypes(s, spanning.spanning_tree(s))
+
+
+@query
+def train_pathval(spark: SparkSession, d: str) -> DataFrame:
+    return supervised.fit(data.embeddings3(spark, d)).select("position", F.round("pathval", 3).alias("pathval"))
+
+
+@query
+def train_labels(spark: SparkSession, d: str) -> DataFrame:
+    return supervised.fit(data.embeddings3(spark, d)).select("position", "label")
+
+
+ORACLE["mst_edges"] = f"WITH RECURSIVE {_S3}, {_PRIM} SELECT least(node, pred) AS a, greatest(node, pred) AS b, round(w, 3) AS d FROM prim WHERE pred >= 0"
+ORACLE["prototypes"] = f"WITH RECURSIVE {_S3}, {_PRIM}, {_PROTO} SELECT i AS position FROM proto"
+ORACLE["train_pathval"] = f"WITH RECURSIVE {_S3}, {_PRIM}, {_PROTO}, {_COST} SELECT node AS position, round(c, 3) AS pathval FROM cost"
+#: Without equal distances, training labels equal the true labels.
+ORACLE["train_labels"] = f"WITH {_EMB3} SELECT p AS position, y AS label FROM s"
+
+
+def _given_model(spark: SparkSession, d: str) -> DataFrame:
+    """Half of the samples as a model with made-up costs."""
+    half = prepare.split(data.embeddings(spark, d), 0.5)[0]
+    cost = (F.col("position") % 7).cast("double") * 1000
+    return half.select("position", "feat", cost.alias("pathval"), F.col("truelabel").alias("label"), (F.col("position") + 1).cast("int").alias("rank"), (F.lit(40000.0) + 500 * (F.col("position") % 11)).alias("radius"))
+
+
+@query
+def classify(spark: SparkSession, d: str) -> DataFrame:
+    # ranks must follow costs
+    model = _given_model(spark, d).withColumn("rank", ((F.col("position") % 7) * 1_000_000 + F.col("position")).cast("int"))
+    return supervised.classify(model, data.embeddings(spark, d)).select("position", "label", "conqueror", F.round("cost", 3).alias("cost"))
+
+
+@query
+def classify_precomputed(spark: SparkSession, d: str) -> DataFrame:
+    model = _given_model(spark, d).withColumn("rank", ((F.col("position") % 7) * 1_000_000 + F.col("position")).cast("int"))
+    s = data.embeddings(spark, d)
+    return supervised.classify(model, s, distances=pairwise.distance_pairs(s, "manhattan")).select("position", "label", "conqueror", F.round("cost", 3).alias("cost"))
+
+
+@query
+def radius_classify(spark: SparkSession, d: str) -> DataFrame:
+    return clustering.knn_classify(_given_model(spark, d), data.embeddings(spark, d)).select("position", "label")
+
+
+_HALF = f"{_EMB}, {_sql_split('s', 'k', '0.5', 1)}, m AS (SELECT p, f, y, (p % 7) * 1000 AS c, 40000 + 500 * (p % 11) AS r FROM k WHERE one)"
+
+
+def _sql_classify(expr: str) -> str:
+    return f"""WITH {_HALF}, o AS (SELECT a.p AS position, b.y AS label, b.p AS conqueror, greatest(b.c, CASE WHEN a.p = b.p THEN 0 ELSE {expr} END) AS cost FROM s a, m b)
+SELECT position, label, conqueror, round(cost, 3) AS cost FROM o JOIN m ON m.p = conqueror QUALIFY row_number() OVER (PARTITION BY position ORDER BY o.cost, m.c, conqueror) = 1"""
+
+
+ORACLE["classify"] = _sql_classify(_LOG)
+ORACLE["classify_precomputed"] = _sql_classify(_SQL_DISTANCE["manhattan"])
+ORACLE["radius_classify"] = f"""WITH {_HALF}, o AS (SELECT a.p, b.y, row_number() OVER (PARTITION BY a.p ORDER BY b.p) AS n FROM s a JOIN m b ON {_LOG} <= b.r)
+SELECT s.p AS position, coalesce(o.y, 0) AS label FROM s LEFT JOIN o ON o.p = s.p AND o.n = 1"""
+
+
+@query
+def train_classify_accuracy(spark: SparkSession, d: str) -> DataFrame:
+    return flagship(spark, d)
+
+
+def _chain(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "model_node").filter("position is not null").select("model_id", "position", F.when(F.col("pred") != -1, F.col("pred")).alias("pred")).distinct()
+
+
+@query
+def ancestor_closure(spark: SparkSession, d: str) -> DataFrame:
+    """Marked nodes (positions divisible by 50) of every model, with all their ancestors."""
+    lines = hierarchy.paths(_chain(spark, d))
+    return lines.filter("position % 50 = 0").select("model_id", F.explode("path").alias("position")).distinct()
+
+
+@query
+def remove_irrelevant(spark: SparkSession, d: str) -> DataFrame:
+    kept = ancestor_closure(spark, d)
+    return _chain(spark, d).join(kept, ["model_id", "position"], "left_semi").select("model_id", "position")
+
+
+_UP = """RECURSIVE n AS (SELECT DISTINCT model_id, position, CASE WHEN pred <> -1 THEN pred END AS pred FROM model_node WHERE model_id IS NOT NULL AND position IS NOT NULL),
+l AS (SELECT a.model_id, a.position, b.position AS up FROM n a JOIN n b ON b.model_id = a.model_id AND b.position = a.pred),
+t AS (SELECT model_id, position FROM n WHERE (model_id, position) NOT IN (SELECT (model_id, position) FROM l)
+      UNION SELECT l.model_id, l.position FROM l JOIN t ON t.model_id = l.model_id AND t.position = l.up),
+c AS (SELECT model_id, position FROM t WHERE position % 50 = 0 UNION SELECT l.model_id, l.up FROM c JOIN l ON l.model_id = c.model_id AND l.position = c.position)"""
+ORACLE["ancestor_closure"] = ORACLE["remove_irrelevant"] = f"WITH {_UP} SELECT model_id, position FROM c"
+
+
+@query
+def best_k(spark: SparkSession, d: str) -> DataFrame:
+    return clustering.best_k(data.embeddings3(spark, d), 5)[1]
+
+
+@query
+def cluster(spark: SparkSession, d: str) -> DataFrame:
+    arcs = cut(pairwise.knn_graph(data.embeddings3(spark, d), 10))
+    return clustering.spread(arcs, cut(clustering.density(arcs)))
+
+
+@query
+def cluster_root_labels(spark: SparkSession, d: str) -> DataFrame:
+    s = data.embeddings3(spark, d)
+    return clustering.root_labels(cluster(spark, d).join(s.select("position", "truelabel"), "position")).select("position", "label", "root", "root_label")
+
+
+def _opened(spark: SparkSession, d: str, kind: str, share: float) -> DataFrame:
+    arcs = cut(pairwise.knn_graph(data.embeddings3(spark, d), 10))
+    dens = cut(clustering.density(arcs))
+    return maxtree.open_maxima(dens, arcs, kind, clustering.filter_parameter(dens, kind, share))
+
+
+@query
+def elim_area(spark: SparkSession, d: str) -> DataFrame:
+    return _opened(spark, d, "area", 0.05)
+
+
+@query
+def elim_volume(spark: SparkSession, d: str) -> DataFrame:
+    return _opened(spark, d, "volume", 0.02)
+
+
+def _three(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    parts = cut(prepare.split3(data.embeddings3(spark, d), 0.4, 0.3, 0.3))
+    return tuple(parts.filter(F.col("part") == p).drop("part") for p in ("train", "eval", "test"))
+
+
+@query
+def learn(spark: SparkSession, d: str) -> DataFrame:
+    train, evaluation, _ = _three(spark, d)
+    return supervised.learn(train, evaluation, rounds=4)[0].select("position", "label", "pathval")
+
+
+@query
+def agglomerative_learn(spark: SparkSession, d: str) -> DataFrame:
+    train, evaluation, _ = _three(spark, d)
+    return supervised.agglomerative_learn(train, evaluation)[0].select("position", "label", "pathval")
+
+
+@query
+def prune(spark: SparkSession, d: str) -> DataFrame:
+    train, evaluation, _ = _three(spark, d)
+    return supervised.prune(train, evaluation, 0.7)[0].select("position", "label", "pathval")
+
+
+@query
+def semi_train(spark: SparkSession, d: str) -> DataFrame:
+    train, other, _ = _three(spark, d)
+    return supervised.semi(train, other).select("position", "truelabel", "label", "pathval")

@@ -1 +1 @@
-
+"""File formats of sample sets and models."""

@@ -1 +1 @@
-
+"""Structured Streaming uses of the models."""
