@@ -44,11 +44,12 @@ def test_fractional_targets_keep_the_plan_total(spark):
 
 def test_empty_nulls_and_clashing_columns(spark):
     rows = [(None, 1, 1, None), (1, None, 1, None), (2, 1, None, None), (3, 1, 1, None)]
-    plan = [(1, 1, None, 1, None, None), (1, 1, 4, 1, 1.0, None)]
+    plan = [(1, 1, None, 1, None, None), (1, 1, 4, 1, 1.0, None), (None, 1, 1, 1, 1.0, None), (None, 1, 9, 1, 1.0, None)]
     s = spark.createDataFrame(rows, SAMPLE).selectExpr("*", "1 as prob", "2 as part", "3 as there")
     p = spark.createDataFrame(plan, PLAN).selectExpr("*", "1 as need", "2 as node_id")
     sample, report = balanced.draw(s, p)
-    assert [x.node_id for x in sample.collect()] == [3] and report.count() == 2
+    assert {(x.plan_id, x.node_id) for x in sample.collect()} == {(1, 3), (None, 3)} and report.count() == 4
+    assert {(x.plan_id, x.need) for x in report.filter("short").collect()} == {(1, 4), (None, 9)}
     sample, report = balanced.draw(s.limit(0), p)
-    assert sample.count() == 0 and report.count() == 2
+    assert sample.count() == 0 and report.count() == 4
     assert balanced.draw(s, p.limit(0))[1].count() == 0

@@ -15,7 +15,7 @@ each category. Records are sorted and coins derive from what a task holds, so a
 runs again decides alike.
 
 Defined cases: redelivered records count once; a null ``node_id`` is no record; null labels
-match no target; null ``share``, ``draw_size`` and ``min_rows`` count as 0; a target without
+match no target; targets without a plan id form a plan of their own; null ``share``, ``draw_size`` and ``min_rows`` count as 0; a target without
 records is reported and draws nothing; repeated target rows are reported once each and drawn
 once (from the largest need); empty tables give empty results; other columns are ignored.
 """
@@ -34,6 +34,8 @@ from thicket.plans.runtime import cut, parallelism
 #: Partitions merged at a time.
 FAN_IN = 64
 _NEAR = 1e-7
+#: Stands for a null plan while plans are told apart.
+_NO_PLAN = -(2**62)
 _STATE = "plan_id long, truelabel int, node_id long, prob double, part long"
 
 
@@ -133,7 +135,8 @@ def draw(samples: DataFrame, plan: DataFrame, seed: int = 5) -> tuple[DataFrame,
     spark = samples.sparkSession
     one = samples.filter("node_id is not null").groupBy("node_id").agg(F.min(F.struct("subgraph_id", "truelabel")).alias("r"))
     records = cut(one.select("node_id", "r.subgraph_id", "r.truelabel").filter("subgraph_id is not null and truelabel is not null"))
-    goals = cut(targets(plan, records))
+    named = plan.withColumn("plan_id", F.coalesce(F.col("plan_id").cast("long"), F.lit(_NO_PLAN)))
+    goals = cut(targets(named, records))
     strata = goals.filter("expected > 0").groupBy("plan_id", "subgraph_id", "truelabel").agg((F.max("expected") / F.first("there")).alias("prob"))
     # records already lie hashed by node, so a large category is spread over all partitions
     start = records.join(strata, ["subgraph_id", "truelabel"]).select("plan_id", "truelabel", "node_id", "prob")
@@ -159,4 +162,5 @@ def draw(samples: DataFrame, plan: DataFrame, seed: int = 5) -> tuple[DataFrame,
         .withColumn("drawn", F.coalesce("drawn", F.lit(0)))
         .select("plan_id", "subgraph_id", "truelabel", "share", "there", "need", "drawn", (F.col("drawn") - F.col("expected")).alias("imbalance"), (F.col("drawn") < F.col("need")).alias("short"))
     )
-    return sample, report
+    plan_out = F.nullif(F.col("plan_id"), F.lit(_NO_PLAN)).alias("plan_id")
+    return sample.select(plan_out, "truelabel", "node_id"), report.select(plan_out, *report.columns[1:])
