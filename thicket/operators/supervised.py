@@ -1,4 +1,4 @@
-"""Training and use of optimum-path forests: supervised, semi-supervised, learning, pruning."""
+"""Training and use of path forests: supervised, semi-supervised, learning, pruning."""
 
 from __future__ import annotations
 
