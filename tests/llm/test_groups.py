@@ -70,3 +70,24 @@ def test_leaves_keep_the_limits_over_all_rows(spark):
     assert ((out["size"] <= 80) | (out.rms_radius <= groups.COMPACT)).all()
     vec = {n: np.array(f) for n, _, f in rows}
     assert all(len(t) == min(3, s) and all(v in vec for v in t) for t, s in zip(out.typical, out["size"]))
+
+
+def test_groups_are_compact_however_few_rows(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(0, 40, (12, 4))
+    rows = [(i, 4, (centres[i % 12] + rng.normal(0, 0.2, 4)).tolist()) for i in range(240)] + [(900, 4, [500.0, 0.0, 0.0, 0.0])]
+    out = groups.describe(spark.createDataFrame(rows, ROW)).toPandas()
+    assert (out.rms_radius <= groups.COMPACT).all()
+    assert sorted(zip(out.leaf, out["size"])) == [(i, 20) for i in range(12)] + [(900, 1)]
+    vec = {n: np.array(f) for n, _, f in rows}
+    for leaf, typical in zip(out.leaf, out.typical):
+        mine = [n for n in vec if n < 900 and n % 12 == leaf] or [900]
+        mid = np.mean([vec[n] for n in mine], axis=0)
+        assert list(typical) == sorted(mine, key=lambda n: ((vec[n] - mid) ** 2).sum())[:3]
+
+
+def test_large_tight_leaves_are_groups_as_they_are(spark):
+    rows = [(i, 2, [1.0 + i % 3 / 8, 2.0]) for i in range(60)] + [(100, 2, [90.0, 0.0])]
+    out = groups.describe(spark.createDataFrame(rows, ROW), leaf_rows=5).toPandas()
+    assert sorted(zip(out.leaf, out["size"])) == [(0, 60), (100, 1)]
+    assert {r.leaf: list(r.typical) for r in out.itertuples()} == {0: [1, 4, 7], 100: [100]}

@@ -4,8 +4,11 @@ Method: bisecting k-means. The node of largest dispersion is split in two again
 until every leaf is compact: at most ``LEAF_ROWS`` rows, or a root mean square radius of at
 most ``COMPACT``. Splits are fitted on a bounded sample (``SAMPLE_ROWS`` rows of each width, and
 of each leaf that is refined); sizes, dispersions and whether the limits hold are taken over
-all rows, and leaves that break a limit are sampled and split further. Leaves are reported
-with size, dispersion, and the members nearest to the centre.
+all rows, and leaves that break a limit are sampled and split further.
+
+Groups come from the leaves: all rows of a leaf go to one task, which splits them on until every
+part is compact, whatever its number of rows. Groups are reported with size, dispersion, and
+the members nearest to the centre.
 
 Linked clusters (maximal sets linked by distance <= ``reach``) come from the leaves: within a
 leaf, rows within reach/2 of a chosen row form a knot, all of whose members are linked to one
@@ -324,14 +327,62 @@ def linked(rows: DataFrame, reach: float = 2.5, least: int = 5, leaf_rows: int =
     return members.select("node_id", "knot").join(named, "knot").select("cluster_id", "node_id")
 
 
+def _apart(y: np.ndarray, rng: np.random.Generator) -> np.ndarray | None:
+    """The side of every row in a split in two; None if the rows cannot be told apart."""
+    split = _two_means(y, rng)
+    if split is not None:
+        return split[2]
+    a = y[(y**2).sum(1).argmax()]
+    away = ((y - a) ** 2).sum(1)
+    side = ((y - y[away.argmax()]) ** 2).sum(1) < away
+    return side if side.any() else None
+
+
+def _split_up(compact: float, typical: int, seed: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The groups of one leaf: its rows are split until every part is compact."""
+        pdf = pdf.sort_values("node_id")
+        d, ids = int(pdf.d.iloc[0]), pdf.node_id.to_numpy()
+        x = _matrix(pdf.vec, d)
+        rng = np.random.default_rng([seed, int(pdf.leaf.iloc[0])])
+        todo, out = [np.arange(len(x))], []
+        while todo:
+            at = todo.pop()
+            y = x[at] - x[at].mean(0)
+            away = (y**2).sum(1)
+            rms = math.sqrt(away.mean())
+            side = _apart(y, rng) if rms > compact else None
+            if side is None:
+                out.append((d, ids[at[0]], len(at), rms, ids[at[np.argsort(away, kind="stable")[:typical]]].tolist()))
+            else:
+                todo += [at[side], at[~side]]
+        return pd.DataFrame(out, columns=["d", "leaf", "size", "rms_radius", "typical"])
+
+    return run
+
+
 def describe(rows: DataFrame, typical: int = 3, leaf_rows: int = LEAF_ROWS, sample: int = SAMPLE_ROWS) -> DataFrame:
-    """The leaves: ``d, leaf, size, rms_radius, typical`` (ids of the rows nearest to the centre).
+    """The groups: ``d, leaf, size, rms_radius, typical`` (ids of the rows nearest to the centre).
 
-    Rows count once per ``node_id``: redelivered rows are removed before.
+    ``leaf`` is the smallest ``node_id`` of the group. Every group has a root mean square
+    radius of at most ``COMPACT``, however few its rows; leaves of the tree of up to
+    ``2 * leaf_rows`` rows are split to the end in one task each. Rows count once per
+    ``node_id``: redelivered rows are removed before.
     """
     once = cut(rows.dropDuplicates(["node_id"]))
     trees, table = fit(once, leaf_rows, COMPACT, sample)
     shared = once.sparkSession.sparkContext.broadcast(trees)
+    # tight leaves that may be too large for a task are groups as they are
+    sizes = {(int(t.d), int(t.leaf)): (int(t.n), float(t.rms)) for t in table.itertuples() if t.n > 2 * leaf_rows and t.rms <= COMPACT} if trees else {}
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in _assign(shared, {})(batches):
+            yield b[[key not in sizes for key in zip(b.d, b.leaf)]].drop(columns="salt")
+
+    placed = once.select("node_id", "d", "feat").mapInPandas(place, "d int, leaf int, node_id long, vec binary")
+    found = placed.groupBy("d", "leaf").applyInPandas(_split_up(COMPACT, typical, 3), "d int, leaf long, size long, rms_radius double, typical array<long>")
+    if not sizes:
+        return found
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -341,10 +392,14 @@ def describe(rows: DataFrame, typical: int = 3, leaf_rows: int = LEAF_ROWS, samp
                 y = x[r].astype(np.float64)
                 dist = np.sqrt(((y - np.stack([tree.centre[v] for v in leaf])) ** 2).sum(1))
                 got = pd.DataFrame({"d": d, "leaf": leaf, "node_id": part.node_id.to_numpy()[r], "distance": dist})
-                yield got.sort_values(["distance", "node_id"]).groupby("leaf").head(typical)
+                got = got[[(d, v) in sizes for v in leaf.tolist()]]
+                first = got.groupby("leaf").node_id.min()
+                got = got.sort_values(["distance", "node_id"]).groupby("leaf").head(typical)
+                yield got.assign(first=got.leaf.map(first))
 
     best = Window.partitionBy("d", "leaf").orderBy("distance", "node_id")
-    tops = once.select("node_id", "d", "feat").mapInPandas(near, "d int, leaf int, node_id long, distance double").withColumn("r", F.row_number().over(best)).filter(F.col("r") <= typical)
-    tops = tops.groupBy("d", "leaf").agg(F.transform(F.array_sort(F.collect_list(F.struct("distance", "node_id"))), lambda t: t["node_id"]).alias("typical"))
-    sizes = once.sparkSession.createDataFrame([(int(t.d), int(t.leaf), int(t.n), float(t.rms)) for t in table.itertuples()] if trees else [], "d int, leaf int, size long, rms_radius double")
-    return sizes.join(tops, ["d", "leaf"])
+    tops = once.select("node_id", "d", "feat").mapInPandas(near, "d int, leaf int, node_id long, distance double, first long")
+    tops = tops.withColumns({"r": F.row_number().over(best), "first": F.min("first").over(Window.partitionBy("d", "leaf"))}).filter(F.col("r") <= typical)
+    tops = tops.groupBy("d", "leaf").agg(F.min("first").alias("first"), F.transform(F.array_sort(F.collect_list(F.struct("distance", "node_id"))), lambda t: t["node_id"]).alias("typical"))
+    large = once.sparkSession.createDataFrame([(*key, *of) for key, of in sizes.items()], "d int, leaf int, size long, rms_radius double")
+    return found.unionByName(large.join(tops, ["d", "leaf"]).select("d", F.col("first").alias("leaf"), "size", "rms_radius", "typical"))
