@@ -91,3 +91,36 @@ def test_large_tight_leaves_are_groups_as_they_are(spark):
     out = groups.describe(spark.createDataFrame(rows, ROW), leaf_rows=5).toPandas()
     assert sorted(zip(out.leaf, out["size"])) == [(0, 60), (100, 1)]
     assert {r.leaf: list(r.typical) for r in out.itertuples()} == {0: [1, 4, 7], 100: [100]}
+
+
+def test_splits_are_fitted_on_all_rows(spark):
+    rng = np.random.default_rng(6)
+    at = [(0.0, 0.0)] * 400 + [(60.0, 0.0)] * 200 + [(0.0, 90.0)] * 3
+    rows = [(i, 2, (np.array(c) + rng.normal(0, 3, 2)).tolist()) for i, c in enumerate(at)]
+    trees, means = groups.fit_whole(spark.createDataFrame(rows, ROW), leaf_rows=150, sample=6)
+    x = np.array([f for _, _, f in rows], np.float32)
+    r, leaf = trees[2].walk(x)
+    assert sorted(r) == list(range(603)) and set(leaf) == {v for _, v in means}
+    for (_, v), (n, mean, rms) in means.items():
+        mine = x[r[leaf == v]].astype(float)
+        assert n == len(mine) and np.allclose(mean, mine.mean(0)) and np.isclose(rms, np.sqrt(((mine - mine.mean(0)) ** 2).sum(1).mean()))
+        assert n <= 300 or rms <= groups.COMPACT
+    a, b = (trees[2].centre[v] for v in (trees[2].left[0], trees[2].right[0]))
+    near = ((x - a) ** 2).sum(1) < ((x - b) ** 2).sum(1)
+    assert np.allclose(a, x[near].astype(float).mean(0)) and np.allclose(b, x[~near].astype(float).mean(0))
+
+
+def test_rows_that_no_sample_meets_are_split_off(spark):
+    rows = [(i, 2, [1.0, 2.0]) for i in range(3000)] + [(5000, 2, [9000.0, 0.0])]
+    trees, means = groups.fit_whole(spark.createDataFrame(rows, ROW), leaf_rows=10, sample=5)
+    assert sorted(n for n, _, _ in means.values()) == [1, 3000] and max(rms for _, _, rms in means.values()) < 1e-6
+    out = groups.describe(spark.createDataFrame(rows, ROW), leaf_rows=10, sample=5).toPandas()
+    assert sorted(zip(out.leaf, out["size"], out.compact)) == [(0, 3000, True), (5000, 1, True)]
+
+
+def test_typical_members_are_nearest_to_the_mean_of_all_rows(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, 3, rng.normal(0, 0.5, 3).astype(np.float32).tolist()) for i in range(500)]
+    out = groups.describe(spark.createDataFrame(rows, ROW), leaf_rows=20, sample=10).toPandas()
+    x = np.array([f for _, _, f in rows])
+    assert len(out) == 1 and list(out.typical[0]) == np.argsort(((x - x.mean(0)) ** 2).sum(1))[:3].tolist()

@@ -1,14 +1,17 @@
 """Similarity groups by bisecting k-means, and the exact links that they help to find.
 
 Method: bisecting k-means. The node of largest dispersion is split in two again and again
-until every leaf is compact: at most ``LEAF_ROWS`` rows, or a root mean square radius of at
-most ``COMPACT``. Splits are fitted on a bounded sample (``SAMPLE_ROWS`` rows of each width, and
-of each leaf that is refined); sizes, dispersions and whether the limits hold are taken over
-all rows, and leaves that break a limit are sampled and split further.
+until every leaf has at most ``LEAF_ROWS`` rows, or a root mean square radius of at most
+``COMPACT``. Sizes, dispersions and whether the limits hold are taken over all rows.
 
-Groups come from the leaves: all rows of a leaf go to one task, which splits them on until every
-part is compact, whatever its number of rows. Groups are reported with size, dispersion, and
-the members nearest to the centre.
+For groups the splits are fitted on all rows too (``fit_whole``; samples only give starting
+points). All rows of a leaf then go to one task, which splits them on until every part is
+compact, whatever its number of rows. Groups are reported with size, dispersion, and the
+members nearest to the mean.
+
+For linked clusters the tree only decides which rows meet, not what is found, so its splits are
+fitted on a bounded sample (``fit``: ``SAMPLE_ROWS`` rows of each width, and of each leaf that
+is refined).
 
 Linked clusters (maximal sets linked by distance <= ``reach``) come from the leaves: within a
 leaf, rows within reach/2 of a chosen row form a knot, all of whose members are linked to one
@@ -43,6 +46,8 @@ from thicket.plans.components import components, union_find
 from thicket.plans.runtime import cut
 
 LEAF_ROWS, BLOCK_ROWS, SAMPLE_ROWS, COMPACT = 4000, 16_000, 12_000, 1.25
+#: Two-means updates of a split, in memory or over all rows.
+UPDATES = 8
 _KNOT = "d int, node_id long, knot long, far double, vec binary"
 
 
@@ -94,7 +99,7 @@ def _two_means(x: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.
     a = x[((x - a) ** 2).sum(1).argmax()]
     b = x[((x - a) ** 2).sum(1).argmax()]
     side = None
-    for _ in range(8):
+    for _ in range(UPDATES):
         gap = b - a
         if not gap @ gap > 0:
             return None
@@ -327,6 +332,134 @@ def linked(rows: DataFrame, reach: float = 2.5, least: int = 5, leaf_rows: int =
     return members.select("node_id", "knot").join(named, "knot").select("cluster_id", "node_id")
 
 
+def _leaf_means(shared):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows of each leaf, and sum and sum of squares of their offsets from its centre."""
+        total: dict[tuple[int, int], list] = {}
+        for b in batches:
+            for d, _, x in vectors.by_width(b):
+                tree = shared.value[d]
+                rows, at = tree.walk(x)
+                order = np.argsort(at, kind="stable")
+                for idx in np.split(order, np.flatnonzero(np.diff(at[order])) + 1):
+                    y = x[rows[idx]] - tree.centre[at[idx[0]]]
+                    t = total.setdefault((d, int(at[idx[0]])), [0, 0.0, 0.0])
+                    t[0] += len(idx)
+                    t[1] = t[1] + y.sum(0)
+                    t[2] += float((y**2).sum())
+        if total:
+            yield pd.DataFrame([(d, leaf, n, s.tolist(), q) for (d, leaf), (n, s, q) in total.items()], columns=["d", "leaf", "n", "total", "squares"])
+
+    return run
+
+
+def _means(rows: DataFrame, trees: dict[int, Tree]) -> dict[tuple[int, int], tuple[int, np.ndarray, float]]:
+    """Rows, mean and root mean square radius of each leaf that has rows, over all rows."""
+    shared = rows.sparkSession.sparkContext.broadcast(trees)
+    parts = rows.select("d", "feat").mapInPandas(_leaf_means(shared), "d int, leaf int, n long, total array<double>, squares double")
+    sums = parts.select("d", "leaf", "n", "squares", F.posexplode("total").alias("j", "t")).groupBy("d", "leaf", "j").agg(F.sum("t").alias("t"), F.sum("n").alias("n"), F.sum("squares").alias("q"))
+    table = sums.groupBy("d", "leaf").agg(F.first("n").alias("n"), F.first("q").alias("q"), F.array_sort(F.collect_list(F.struct("j", "t"))).alias("t")).collect()  # one row a leaf
+    shared.unpersist()
+    out = {}
+    for r in table:
+        off = np.array([t.t for t in r.t]) / r.n
+        out[r.d, r.leaf] = (r.n, trees[r.d].centre[r.leaf] + off, math.sqrt(max(0.0, r.q / r.n - off @ off)))
+    return out
+
+
+def _update(trees: dict[int, Tree], means: dict[tuple[int, int], tuple[int, np.ndarray, float]], since: dict[int, int]) -> bool:
+    """Moves centres numbered from ``since`` to the means of the rows that reach them.
+
+    A split with a side that no row reaches gives way to the other side. False if nothing moved.
+    """
+    moved = False
+    for d, tree in trees.items():
+        n, total = np.zeros(len(tree.left)), np.zeros((len(tree.left), d))
+        for v in range(len(n) - 1, -1, -1):  # children have larger numbers than their parent
+            if tree.left[v] >= 0:
+                for c in (tree.left[v], tree.right[v]):
+                    n[v] += n[c]
+                    total[v] += total[c]
+            elif (d, v) in means:
+                n[v], mean, _ = means[d, v]
+                total[v] = n[v] * mean
+        for v in np.flatnonzero(n > 0).tolist():
+            if v >= since[d]:
+                mean = total[v] / n[v]
+                moved |= not np.allclose(tree.centre[v], mean, rtol=1e-9, atol=1e-9)
+                tree.centre[v] = mean
+            while tree.left[v] >= 0 and (n[tree.left[v]] == 0 or n[tree.right[v]] == 0):
+                c = tree.left[v] if n[tree.left[v]] else tree.right[v]
+                tree.left[v], tree.right[v] = tree.left[c], tree.right[c]
+                moved = True
+    return moved
+
+
+def _farthest(shared, means):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The row of a batch farthest from the mean of its leaf, for the leaves in ``means``."""
+        for b in batches:
+            for d, part, x in vectors.by_width(b):
+                r, at = shared.value[d].walk(x)
+                for leaf in {v for v in np.unique(at).tolist() if (d, v) in means}:
+                    idx = r[at == leaf]
+                    away = ((x[idx] - means[d, leaf]) ** 2).sum(1)
+                    yield pd.DataFrame({"d": [d], "leaf": [leaf], "away": [away.max()], "feat": [part.feat.to_numpy()[idx[away.argmax()]]]})
+
+    return run
+
+
+def fit_whole(rows: DataFrame, leaf_rows: int = LEAF_ROWS, compact: float = COMPACT, sample: int = SAMPLE_ROWS, seed: int = 3) -> tuple[dict[int, Tree], dict[tuple[int, int], tuple[int, np.ndarray, float]]]:
+    """Trees by width whose splits are fitted on all rows, and rows, mean and radius of the leaves.
+
+    Samples only give the two-means iterations their starting points: the splits of a round are
+    then updated together, up to ``UPDATES`` times, to the means of all rows that reach their sides.
+    A leaf that its sample cannot split starts from its mean and the row farthest from it. Rounds
+    go on until every leaf has at most ``2 * leaf_rows`` rows, is compact, or has come out of
+    a round unsplit because its rows cannot be told apart.
+    """
+    sc = rows.sparkSession.sparkContext
+    trees: dict[int, Tree] = {}
+    for r in rows.groupBy("d").agg(F.min_by("feat", "node_id").alias("feat")).collect():  # one row a width
+        trees[r.d] = Tree()
+        trees[r.d].add(np.array(r.feat))
+    alike: set[tuple[int, int]] = set()
+    turn = 0
+    while True:
+        means = _means(rows, trees)
+        size = {key: n for key, (n, _, rms) in means.items() if n > 2 * leaf_rows and rms > compact and key not in alike}
+        if not size:
+            return trees, means
+        turn += 1
+        since = {d: len(t.left) for d, t in trees.items()}
+        shared = sc.broadcast(trees)
+        each = max(200, sample // len(size)) if turn > 1 else sample
+
+        def pick(batches: Iterator[pd.DataFrame], shared=shared, size=size, each=each, turn=turn) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for d, part, x in vectors.by_width(b):
+                    r, at = shared.value[d].walk(x)
+                    chance = np.array([min(1.0, each / size[d, a]) if (d, a) in size else 0.0 for a in at.tolist()])
+                    ids = part.node_id.to_numpy()[r]
+                    got = np.flatnonzero(pd.util.hash_array(ids ^ (turn << 50)).astype(np.float64) / 2.0**64 < chance)
+                    if len(got):
+                        yield pd.DataFrame({"d": d, "leaf": at[got], "node_id": ids[got], "feat": part.feat.to_numpy()[r[got]]})
+
+        drawn = rows.select("node_id", "d", "feat").mapInPandas(pick, "d int, leaf int, node_id long, feat array<float>").toPandas()  # bounded by each * leaves
+        for (d, leaf), g in drawn.sort_values("node_id").groupby(["d", "leaf"]):
+            grow(trees[d], int(leaf), vectors.stack(g.feat), size[d, leaf] / len(g), leaf_rows, compact, seed + turn)
+        unsplit = {key: means[key][1] for key in size if trees[key[0]].left[key[1]] < 0}
+        if unsplit:
+            ends = rows.select("d", "feat").mapInPandas(_farthest(shared, unsplit), "d int, leaf int, away double, feat array<float>")
+            for r in ends.groupBy("d", "leaf").agg(F.max_by("feat", "away").alias("feat")).collect():  # one row a leaf
+                tree = trees[r.d]
+                tree.left[r.leaf], tree.right[r.leaf] = tree.add(unsplit[r.d, r.leaf]), tree.add(np.array(r.feat))
+        for _ in range(UPDATES):
+            if not _update(trees, _means(rows, trees), since):
+                break
+        alike |= {key for key in size if trees[key[0]].left[key[1]] < 0}
+
+
 def _apart(y: np.ndarray, rng: np.random.Generator) -> np.ndarray | None:
     """The side of every row in a split in two; None if the rows cannot be told apart."""
     split = _two_means(y, rng)
@@ -353,46 +486,49 @@ def _split_up(compact: float, typical: int, seed: int):
             rms = math.sqrt(away.mean())
             side = _apart(y, rng) if rms > compact else None
             if side is None:
-                out.append((d, ids[at[0]], len(at), rms, ids[at[np.argsort(away, kind="stable")[:typical]]].tolist()))
+                out.append((d, ids[at[0]], len(at), rms, rms <= compact, ids[at[np.argsort(away, kind="stable")[:typical]]].tolist()))
             else:
                 todo += [at[side], at[~side]]
-        return pd.DataFrame(out, columns=["d", "leaf", "size", "rms_radius", "typical"])
+        return pd.DataFrame(out, columns=["d", "leaf", "size", "rms_radius", "compact", "typical"])
 
     return run
 
 
 def describe(rows: DataFrame, typical: int = 3, leaf_rows: int = LEAF_ROWS, sample: int = SAMPLE_ROWS) -> DataFrame:
-    """The groups: ``d, leaf, size, rms_radius, typical`` (ids of the rows nearest to the centre).
+    """The groups: ``d, leaf, size, rms_radius, compact, typical`` (ids of the rows nearest to the mean).
 
     ``leaf`` is the smallest ``node_id`` of the group. Every group has a root mean square
-    radius of at most ``COMPACT``, however few its rows; leaves of the tree of up to
+    radius of at most ``COMPACT``, however few its rows, unless its rows cannot be told apart
+    by a split; ``compact`` is false for those. Leaves of the tree of up to
     ``2 * leaf_rows`` rows are split to the end in one task each. Rows count once per
     ``node_id``: redelivered rows are removed before.
     """
     once = cut(rows.dropDuplicates(["node_id"]))
-    trees, table = fit(once, leaf_rows, COMPACT, sample)
+    trees, means = fit_whole(once, leaf_rows, COMPACT, sample)
     shared = once.sparkSession.sparkContext.broadcast(trees)
-    # tight leaves that may be too large for a task are groups as they are
-    sizes = {(int(t.d), int(t.leaf)): (int(t.n), float(t.rms)) for t in table.itertuples() if t.n > 2 * leaf_rows and t.rms <= COMPACT} if trees else {}
+    # leaves that may be too large for a task are tight, or cannot be split: groups as they are
+    sizes = {key: (n, rms, rms <= COMPACT) for key, (n, _, rms) in means.items() if n > 2 * leaf_rows}
+    centres = {key: means[key][1] for key in sizes}
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in _assign(shared, {})(batches):
             yield b[[key not in sizes for key in zip(b.d, b.leaf)]].drop(columns="salt")
 
     placed = once.select("node_id", "d", "feat").mapInPandas(place, "d int, leaf int, node_id long, vec binary")
-    found = placed.groupBy("d", "leaf").applyInPandas(_split_up(COMPACT, typical, 3), "d int, leaf long, size long, rms_radius double, typical array<long>")
+    found = placed.groupBy("d", "leaf").applyInPandas(_split_up(COMPACT, typical, 3), "d int, leaf long, size long, rms_radius double, compact boolean, typical array<long>")
     if not sizes:
         return found
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for d, part, x in vectors.by_width(b):
-                tree = shared.value[d]
-                r, leaf = tree.walk(x)
-                y = x[r].astype(np.float64)
-                dist = np.sqrt(((y - np.stack([tree.centre[v] for v in leaf])) ** 2).sum(1))
+                r, leaf = shared.value[d].walk(x)
+                mine = np.array([(d, v) in centres for v in leaf.tolist()], bool)
+                if not mine.any():
+                    continue
+                r, leaf = r[mine], leaf[mine]
+                dist = np.sqrt(((x[r] - np.stack([centres[d, v] for v in leaf.tolist()])) ** 2).sum(1))
                 got = pd.DataFrame({"d": d, "leaf": leaf, "node_id": part.node_id.to_numpy()[r], "distance": dist})
-                got = got[[(d, v) in sizes for v in leaf.tolist()]]
                 first = got.groupby("leaf").node_id.min()
                 got = got.sort_values(["distance", "node_id"]).groupby("leaf").head(typical)
                 yield got.assign(first=got.leaf.map(first))
@@ -401,5 +537,5 @@ def describe(rows: DataFrame, typical: int = 3, leaf_rows: int = LEAF_ROWS, samp
     tops = once.select("node_id", "d", "feat").mapInPandas(near, "d int, leaf int, node_id long, distance double, first long")
     tops = tops.withColumns({"r": F.row_number().over(best), "first": F.min("first").over(Window.partitionBy("d", "leaf"))}).filter(F.col("r") <= typical)
     tops = tops.groupBy("d", "leaf").agg(F.min("first").alias("first"), F.transform(F.array_sort(F.collect_list(F.struct("distance", "node_id"))), lambda t: t["node_id"]).alias("typical"))
-    large = once.sparkSession.createDataFrame([(*key, *of) for key, of in sizes.items()], "d int, leaf int, size long, rms_radius double")
-    return found.unionByName(large.join(tops, ["d", "leaf"]).select("d", F.col("first").alias("leaf"), "size", "rms_radius", "typical"))
+    large = once.sparkSession.createDataFrame([(*key, *of) for key, of in sizes.items()], "d int, leaf int, size long, rms_radius double, compact boolean")
+    return found.unionByName(large.join(tops, ["d", "leaf"]).select("d", F.col("first").alias("leaf"), "size", "rms_radius", "compact", "typical"))
