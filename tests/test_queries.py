@@ -1,4 +1,9 @@
+import math
+
+import pytest
+
 import __spark_entry__ as entry
+from thicket.sources import samples
 from thicket.plans.components import components
 
 
@@ -17,3 +22,32 @@ def test_components_by_stars_and_by_one_task(spark):
     assert one == {tuple(r) for r in components(df, local_edges=0).collect()}
     assert (60, 1) in one and (102, 100) in one and (229, 200) in one and (300, 300) in one and len(one) == 60 + 3 + 30 + 1
     assert components(df.limit(0)).count() == 0
+
+
+def test_learning_queries_run_on_whole_vectors_and_stored_labels(spark, small, monkeypatch):
+    def cut_short(*_):
+        raise AssertionError("embeddings3")
+
+    monkeypatch.setattr(samples, "embeddings3", cut_short)
+    label = {r.position: r.truelabel for r in samples.embeddings(spark, small).collect()}
+    for name in ("best_k", "elim_area", "elim_volume", "cluster"):
+        assert entry.queries()[name](spark, small).count() > 0
+    rows = entry.queries()["semi_train"](spark, small).collect()
+    assert {r.label for r in rows} == set(label.values()) and len(rows) > 300
+
+
+def same(a, b):
+    if isinstance(a, (list, tuple)):
+        return len(a) == len(b) and all(same(x, y) for x, y in zip(a, b))
+    return math.isclose(a, b, rel_tol=1e-9, abs_tol=2e-3) if isinstance(a, float) else a == b
+
+
+@pytest.mark.parametrize("name", ["distance_matrix_whole", "distance_matrix_normalized_whole", "distance_matrix_symmetric_whole", "ascii_export_whole", "ascii_parse_whole", "normalize_per_fold_whole", "mst_edges_whole", "prototypes_whole", "train_pathval_whole", "train_labels_whole"])
+def test_whole_vector_queries_equal_their_sql(spark, small, name):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{small}/embeddings.parquet'")
+    got = entry.queries()[name](spark, small)
+    want = sorted(con.execute(f"SELECT {', '.join(got.columns)} FROM ({entry.oracle_sql()[name]})").fetchall())
+    got = sorted(tuple(r) for r in got.collect())
+    assert len(got) >= 300 and same(got, want)

@@ -420,6 +420,34 @@ ORACLE["train_pathval"] = f"WITH RECURSIVE {_S3}, {_PRIM}, {_PROTO}, {_COST} SEL
 ORACLE["train_labels"] = f"WITH {_EMB3} SELECT p AS position, y AS label FROM s"
 
 
+#: The queries above whose SQL fixes the first three dimensions, once more on all 64 and the
+#: stored labels, each with the same SQL over the whole vectors.
+_WHOLE: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "distance_matrix": lambda s: pairwise.distance_matrix(s).select("i", "j", F.round("d", 6).alias("d")),
+    "distance_matrix_normalized": lambda s: pairwise.distance_matrix(s, "manhattan", True).select("i", "j", F.round("d", 6).alias("d")),
+    "distance_matrix_symmetric": lambda s: pairwise.symmetric_matrix(s).select("i", "j", F.round("d", 6).alias("d")),
+    "ascii_export": text_form.to_lines,
+    "ascii_parse": lambda s: text_form.parse_lines(text_form.to_lines(s)),
+    "normalize_per_fold": lambda s: prepare.normalize(prepare.kfold(s, 5), ("fold",)).select("position", "fold", F.transform("feat", lambda v: F.round(v, 6)).alias("feat")),
+    "mst_edges": lambda s: spanning.spanning_tree(s).select("a", "b", F.round("d", 3).alias("d")),
+    "prototypes": lambda s: spanning.prototypes(s, spanning.spanning_tree(s)),
+    "train_pathval": lambda s: supervised.fit(s).select("position", F.round("pathval", 3).alias("pathval")),
+    "train_labels": lambda s: supervised.fit(s).select("position", "label"),
+}
+
+
+def _whole_query(run: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, d: run(data.embeddings(spark, d))
+
+
+_HEADS = [(_S3, _EMB.replace("s AS (", "s AS MATERIALIZED (", 1)), (_EMB3.replace("s AS", "s0 AS", 1), _EMB.replace("s AS", "s0 AS", 1)), (_EMB3, _EMB)]
+for _name, _run in _WHOLE.items():
+    QUERIES[_name + "_whole"] = _whole_query(_run)
+    for _short, _long in _HEADS:
+        if _short in ORACLE[_name]:
+            ORACLE[_name + "_whole"] = ORACLE[_name].replace(_short, _long)
+
+
 def _given_model(spark: SparkSession, d: str) -> DataFrame:
     """Half of the samples as a model with made-up costs."""
     half = prepare.split(data.embeddings(spark, d), 0.5)[0]
@@ -492,23 +520,23 @@ ORACLE["ancestor_closure"] = ORACLE["remove_irrelevant"] = f"WITH {_UP} SELECT m
 
 @query
 def best_k(spark: SparkSession, d: str) -> DataFrame:
-    return clustering.best_k(data.embeddings3(spark, d), 5)[1]
+    return clustering.best_k(data.embeddings(spark, d), 5)[1]
 
 
 @query
 def cluster(spark: SparkSession, d: str) -> DataFrame:
-    arcs = cut(pairwise.knn_graph(data.embeddings3(spark, d), 10))
+    arcs = cut(pairwise.knn_graph(data.embeddings(spark, d), 10))
     return clustering.spread(arcs, cut(clustering.density(arcs)))
 
 
 @query
 def cluster_root_labels(spark: SparkSession, d: str) -> DataFrame:
-    s = data.embeddings3(spark, d)
+    s = data.embeddings(spark, d)
     return clustering.root_labels(cluster(spark, d).join(s.select("position", "truelabel"), "position")).select("position", "label", "root", "root_label")
 
 
 def _opened(spark: SparkSession, d: str, kind: str, share: float) -> DataFrame:
-    arcs = cut(pairwise.knn_graph(data.embeddings3(spark, d), 10))
+    arcs = cut(pairwise.knn_graph(data.embeddings(spark, d), 10))
     dens = cut(clustering.density(arcs))
     return maxtree.open_maxima(dens, arcs, kind, clustering.filter_parameter(dens, kind, share))
 
@@ -524,7 +552,7 @@ def elim_volume(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _three(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    parts = cut(prepare.split3(data.embeddings3(spark, d), 0.4, 0.3, 0.3))
+    parts = cut(prepare.split3(data.embeddings(spark, d), 0.4, 0.3, 0.3))
     return tuple(parts.filter(F.col("part") == p).drop("part") for p in ("train", "eval", "test"))
 
 
