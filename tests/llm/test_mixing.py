@@ -1,5 +1,6 @@
 import regex
 
+import __spark_entry__ as entry
 from thicket.llm import mixing
 
 DOC, MIX = "doc_id long, source string, text string", "mix_id int, source string, share double, max_repeat int, budget_ratio double"
@@ -51,3 +52,11 @@ def test_nulls_empty_and_clashing_columns(spark):
     m, r = mixing.compose(mixing.unit_sizes(d.limit(0)), t)
     assert m.count() == 0 and r.count() == 4
     assert mixing.compose(mixing.unit_sizes(d), t.limit(0))[1].count() == 0
+
+
+def test_report_describes_the_mix_that_is_drawn(spark, small):
+    queries = entry.queries()
+    mix = queries["p8_mix"](spark, small).groupBy("mix_id", "source").sum("size").collect()
+    want = {(r.mix_id, r.source): r[2] for r in mix if r[2]}
+    got = {(r.mix_id, r.source): r.drawn_size for r in queries["p8_report"](spark, small).collect() if r.drawn_size}
+    assert want and got == want

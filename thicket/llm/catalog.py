@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,11 +13,6 @@ from thicket.plans.runtime import table
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
-#: Public vocabulary file whose tokens size the documents of a mix, where it is installed.
-RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: Fixed value: the splitting pattern that vocabulary was made with.
-RANKS_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
-
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     QUERIES[f.__name__] = f
@@ -63,16 +57,19 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return report.filter("short").select("mix_id", "source").distinct()
 
 
+def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The mix and the report on it, in the unit of p8_found."""
+    return mixing.compose(mixing.unit_sizes(table(spark, d, "documents")), table(spark, d, "mix_target"))
+
+
 @query
 def p8_report(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.compose(mixing.unit_sizes(table(spark, d, "documents")), table(spark, d, "mix_target"))[1]
+    return _mix(spark, d)[1]
 
 
 @query
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    sized = mixing.token_sizes(docs, RANKS, RANKS_PATTERN) if Path(RANKS).exists() else mixing.unit_sizes(docs)
-    return mixing.in_shard_order(mixing.compose(sized, table(spark, d, "mix_target"))[0])
+    return mixing.in_shard_order(_mix(spark, d)[0])
 
 
 ORACLE["p2_found"] = """
