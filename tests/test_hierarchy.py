@@ -99,3 +99,19 @@ def test_contract_array_identities():
     root, depth, high, state = hierarchy.contract(up, np.array([1.0, 9.0, np.nan, 0.0, 0.0]))
     assert root.tolist() == [0] * 5 and depth.tolist() == [0, 1, 2, 3, 3] and high[3] == 9.0 and state.sum() == 0
     assert hierarchy.contract(np.array([], int), np.array([]))[0].tolist() == []
+
+
+@pytest.mark.parametrize("loop", [False, True])
+def test_long_chain_contracts_in_few_rounds(monkeypatch, loop):
+    n, rounds, count = 5000, [], np.bincount
+    monkeypatch.setattr(hierarchy.np, "bincount", lambda *a, **k: rounds.append(1) or count(*a, **k))
+    up = np.arange(n) - 1
+    up[0] = 9 if loop else -1
+    cost = np.arange(n, dtype=float)[::-1].copy()
+    root, depth, top, state = hierarchy.contract(up, cost)
+    assert len(rounds) < 200
+    if loop:
+        assert (state[:10] == 1).all() and (state[10:] == 2).all() and (root == -1).all()
+    else:
+        assert (state == 0).all() and (root == 0).all() and (depth == np.arange(n)).all()
+        assert np.isnan(top[0]) and (top[1:] == n - 1).all()

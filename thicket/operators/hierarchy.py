@@ -60,8 +60,9 @@ def contract(up: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         if len(leaf):
             steps.append((True, leaf, to[leaf]))
             live[leaf] = False
-            continue
-        # every live node has a child now; chains between branchings are spliced
+            ids = np.flatnonzero(live)
+            kids = np.bincount(to[ids], minlength=n)
+        # nodes with one live child are spliced, no two neighbours at once
         child = np.full(n, -1, np.int64)
         child[to[ids]] = ids
         heads = rng.random(n) < 0.5
@@ -74,7 +75,7 @@ def contract(up: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, np.ndarray,
             far[c] += far[pick]
             to[c] = to[pick]
             live[pick] = False
-        elif own.all():
+        elif not len(leaf) and own.all():
             break
     root = np.where(has, -1, np.arange(n))
     depth = np.zeros(n, np.int64)
