@@ -201,3 +201,18 @@ def test_accuracy_statistics_and_preparation(spark):
         prepare.kfold(s, 0)
     with pytest.raises(ValueError):
         prepare.split3(s, 0.5, 0.2, 0.2)
+
+
+def test_agglomerative_learning_goes_on_while_rows_move(spark, monkeypatch):
+    left = [55]
+
+    def move(scored, train):
+        left[0] -= 1
+        return scored, train, int(left[0] >= 0)
+
+    monkeypatch.setattr(supervised, "cut", lambda df: df)
+    monkeypatch.setattr(supervised, "fit", lambda train, metric: train)
+    monkeypatch.setattr(supervised, "classify", lambda model, rest, metric: rest)
+    monkeypatch.setattr(supervised.prepare, "move_misclassified", move)
+    s = spark.createDataFrame(blobs(4), SAMPLE)
+    assert supervised.agglomerative_learn(s, s)[1] == 55

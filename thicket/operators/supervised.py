@@ -91,12 +91,15 @@ def learn(train: DataFrame, evaluation: DataFrame, metric: str = METRIC, rounds:
     return best, top, done
 
 
-def agglomerative_learn(train: DataFrame, evaluation: DataFrame, metric: str = METRIC, rounds: int = 50) -> tuple[DataFrame, int]:
-    """Moves evaluation errors into training until there are none: model, rows moved."""
+def agglomerative_learn(train: DataFrame, evaluation: DataFrame, metric: str = METRIC) -> tuple[DataFrame, int]:
+    """Moves evaluation errors into training until there are none: model, rows moved.
+
+    Every round but the last moves at least one row, so it ends.
+    """
     base, moved = ["position", "truelabel", "feat"], 0
     train, rest = train.select(base), evaluation.select(base)
     model = cut(fit(train, metric))
-    for _ in range(rounds):
+    while True:
         scored = cut(classify(model, rest, metric))
         rest, train, n = prepare.move_misclassified(scored, train)
         if not n:
