@@ -51,3 +51,13 @@ def test_whole_vector_queries_equal_their_sql(spark, small, name):
     want = sorted(con.execute(f"SELECT {', '.join(got.columns)} FROM ({entry.oracle_sql()[name]})").fetchall())
     got = sorted(tuple(r) for r in got.collect())
     assert len(got) >= 300 and same(got, want)
+
+
+def test_lines_are_checked_by_the_header_of_their_file(spark, small):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    for name in ("raw_line", "subgraph"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{small}/{name}.parquet'")
+    got = {tuple(r) for r in entry.queries()["ascii_check_files"](spark, small).collect()}
+    assert got == set(con.execute(entry.oracle_sql()["ascii_check_files"]).fetchall())
+    assert got != {tuple(r) for r in entry.queries()["ascii_check"](spark, small).collect()}

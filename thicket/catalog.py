@@ -210,6 +210,14 @@ def ascii_check(spark: SparkSession, d: str) -> DataFrame:
     return text_form.check(raw, 20, 8)
 
 
+@query
+def ascii_check_files(spark: SparkSession, d: str) -> DataFrame:
+    """Every line by the header of its own file; ``ascii_check`` has one for all, as its SQL does."""
+    head = table(spark, d, "subgraph").select("subgraph_id", "nfeats", "nlabels").dropDuplicates(["subgraph_id"])
+    raw = table(spark, d, "raw_line").filter("fmt = 'txt'").join(head, "subgraph_id", "left")
+    return text_form.check(raw.select(F.col("raw_id").alias("line_no"), "line", "nfeats", "nlabels"), F.col("nfeats"), F.col("nlabels"))
+
+
 _LINES = "list_transform(f, lambda v: format('{:.6f}', v))"
 ORACLE["ascii_export"] = f"WITH {_EMB3} SELECT p AS position, p || ' ' || y || ' ' || array_to_string({_LINES}, ' ') AS line FROM s"
 ORACLE["ascii_parse"] = f"WITH {_EMB3} SELECT p AS position, y AS truelabel, CAST({_LINES} AS DOUBLE[]) AS feat FROM s"
@@ -218,6 +226,11 @@ WITH p AS (SELECT raw_id AS line_no, string_split_regex(trim(line, ' '), '[ \t]+
 SELECT line_no, coalesce(len(p) = 22 AND regexp_full_match(p[1], '[0-9]+') AND regexp_full_match(p[2], '[0-9]+') AND coalesce(TRY_CAST(p[2] AS BIGINT) BETWEEN 1 AND 8, false)
   AND len(list_filter(p[3:22], lambda x: NOT regexp_full_match(x, '{_NUMBER}'))) = 0, false) AS ok FROM p
 """
+ORACLE["ascii_check_files"] = rf"""
+WITH p AS (SELECT raw_id AS line_no, nfeats, nlabels, string_split_regex(trim(line, ' '), '[ \t]+') AS p FROM raw_line LEFT JOIN subgraph USING (subgraph_id) WHERE fmt = 'txt')
+SELECT line_no, coalesce(len(p) = nfeats + 2 AND regexp_full_match(p[1], '[0-9]+') AND regexp_full_match(p[2], '[0-9]+') AND coalesce(TRY_CAST(p[2] AS BIGINT) BETWEEN 1 AND nlabels, false)
+  AND len(list_filter(p[3:nfeats + 2], lambda x: NOT regexp_full_match(x, '{_NUMBER}'))) = 0, false) AS ok FROM p
+"""
 
 
 @query

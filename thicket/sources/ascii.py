@@ -39,8 +39,8 @@ def _float_ok(part: Column, classic: bool) -> Column:
     return part.rlike(r"\A[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z")
 
 
-def check(lines: DataFrame, nfeats: int, nlabels: int, classic: bool = False) -> DataFrame:
-    """``line_no, ok`` for each of ``line_no, line``.
+def check(lines: DataFrame, nfeats: int | Column, nlabels: int | Column, classic: bool = False) -> DataFrame:
+    """``line_no, ok`` for each of ``line_no, line``; ``nfeats`` and ``nlabels`` may be columns of ``lines``.
 
     The strict rule accepts exponents and wants 0 < label <= nlabels; ``classic`` keeps the
     original rule: no exponents, no number with both a point and a plus, any positive label.
@@ -54,7 +54,7 @@ def check(lines: DataFrame, nfeats: int, nlabels: int, classic: bool = False) ->
     )
     if not classic:
         ok = ok & F.coalesce(F.try_element_at("p", F.lit(2)).try_cast("long") <= nlabels, F.lit(False))
-    return lines.select("line_no", parts.alias("p")).select("line_no", F.coalesce(ok, F.lit(False)).alias("ok"))
+    return lines.withColumn("p", parts).select("line_no", F.coalesce(ok, F.lit(False)).alias("ok"))
 
 
 def check_header(line: str) -> bool:
