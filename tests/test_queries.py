@@ -3,6 +3,8 @@ import math
 import pytest
 
 import __spark_entry__ as entry
+from thicket import catalog
+from thicket.operators import supervised
 from thicket.sources import samples
 from thicket.plans.components import components
 
@@ -61,3 +63,17 @@ def test_lines_are_checked_by_the_header_of_their_file(spark, small):
     got = {tuple(r) for r in entry.queries()["ascii_check_files"](spark, small).collect()}
     assert got == set(con.execute(entry.oracle_sql()["ascii_check_files"]).fetchall())
     assert got != {tuple(r) for r in entry.queries()["ascii_check"](spark, small).collect()}
+
+
+def test_closure_marks_the_conquerors_of_evaluation_rows(spark, small):
+    train, evaluation, _ = catalog._three(spark, small)
+    model = supervised.fit(train).cache()
+    pred = {r.position: r.pred for r in model.collect()}
+    want = set()
+    for r in supervised.classify(model, evaluation).collect():
+        v = r.conqueror
+        while v is not None:
+            want.add(v)
+            v = pred[v]
+    assert want and {r.position for r in entry.queries()["ancestor_closure_conquerors"](spark, small).collect()} == want
+    assert {r.position for r in entry.queries()["remove_irrelevant_conquerors"](spark, small).collect()} == want

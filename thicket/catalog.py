@@ -591,3 +591,21 @@ def prune(spark: SparkSession, d: str) -> DataFrame:
 def semi_train(spark: SparkSession, d: str) -> DataFrame:
     train, other, _ = _three(spark, d)
     return supervised.semi(train, other).select("position", "truelabel", "label", "pathval")
+
+
+def _conquering(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """A model, and its nodes that conquer evaluation rows with all their ancestors."""
+    train, evaluation, _ = _three(spark, d)
+    model = cut(supervised.fit(train))
+    marked = supervised.classify(model, evaluation).select(F.col("conqueror").alias("position"))
+    return model, supervised.ancestor_closure(model, marked)
+
+
+@query
+def ancestor_closure_conquerors(spark: SparkSession, d: str) -> DataFrame:
+    return _conquering(spark, d)[1]
+
+
+@query
+def remove_irrelevant_conquerors(spark: SparkSession, d: str) -> DataFrame:
+    return supervised.keep_relevant(*_conquering(spark, d)).select("position", "label", "pathval")
