@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from thicket.llm import overlap
 
@@ -82,6 +83,48 @@ def test_copies_redelivery_nulls_and_short(spark):
     assert overlap.overlaps(s.limit(0), m).count() == 0 and overlap.overlaps(s, m.limit(0)).count() == 0
 
 
-def test_winnow_keeps_runs_end_to_end():
-    h = np.random.default_rng(1).integers(0, 1 << 60, (4, 12)).astype(np.uint64)
-    assert (np.flatnonzero(overlap.winnow(h, 5)[0]) == [0, 5, 10]).all()
+def test_deep_refinement_is_exact(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(80):
+        x = np.concatenate([np.zeros(13), rng.normal(0, 9, 7)])
+        rows.append((2 * i, 1, "a", i, x.tolist()))
+        y = x + rng.uniform(-0.019, 0.019, 20)
+        y[rng.choice(20, 2, replace=False)] += 5
+        rows.append((2 * i + 1, 2 + i % 2, "b", i, y.tolist()))
+    assert pairs(spark, rows, hot=3) == brute(rows)
+
+
+def test_winnow_keeps_the_least_hash_of_every_window():
+    h = np.random.default_rng(1).integers(0, 1 << 60, (50, 13)).astype(np.uint64)
+    got = overlap.winnow(h, 3)
+    want = np.array([[any(r[i] == r[lo : lo + 3].min() for lo in range(max(0, i - 2), min(i, 10) + 1)) for i in range(13)] for r in h])
+    assert (got == want).all()
+    # the hashes decide: rows keep different places, and other hashes keep others
+    assert len({r.tobytes() for r in got}) > 20 and (overlap.winnow(h[::-1], 3) != got).any()
+
+
+def test_rolling_hash_equals_the_hash_of_each_run():
+    c = np.random.default_rng(2).integers(-1000, 1000, (20, 16))
+    for k in (1, 4, 8):
+        roll = overlap._roll(c, k)
+        for i in range(16 - k + 1):
+            assert (roll[:, i] == overlap._roll(c[:, i : i + k], k)[:, 0]).all()
+
+
+@pytest.mark.parametrize("d", [16, 17, 20, 24, 60])
+def test_a_clean_window_always_shares_a_kept_fingerprint(d):
+    rng = np.random.default_rng(d)
+    x = rng.normal(0, 3, (400, d))
+    y = x + rng.uniform(-0.02, 0.02, x.shape)
+    for r in y:
+        r[rng.choice(d, 2, replace=False)] += rng.normal(0, 5, 2)
+    one, many = overlap.kept(x, 0.020001, 2, False), overlap.kept(y, 0.020001, 2, True)
+    mine, theirs = set(zip(one[0].tolist(), one[2].tolist())), set(zip(many[0].tolist(), many[2].tolist()))
+    assert {r for r, _ in mine & theirs} == set(range(400))
+
+
+def test_chain_counts_covered_dimensions(spark):
+    x = [float(i) for i in range(16)]
+    found = overlap.overlaps(spark.createDataFrame([(1, 1, "a", 1, x), (2, 2, "b", 2, x)], NODE), spark.createDataFrame(SUBS, SUB)).first()
+    assert found.matched == 16 and found.coverage == 1.0 and found.seeds >= 5 and found.chained >= 15
