@@ -60,3 +60,22 @@ def test_report_describes_the_mix_that_is_drawn(spark, small):
     want = {(r.mix_id, r.source): r[2] for r in mix if r[2]}
     got = {(r.mix_id, r.source): r.drawn_size for r in queries["p8_report"](spark, small).collect() if r.drawn_size}
     assert want and got == want
+
+
+def test_short_is_read_off_the_draw(spark, monkeypatch):
+    docs, mix = [(i, "a", "w w w") for i in range(600)] + [(1000 + i, "b", "w") for i in range(50)], [(1, "a", 0.5, 1, 1.0), (1, "b", 0.5, 2, 1.0), (1, "none", 0.1, 2, 1.0)]
+    _, r = mixed(spark, docs, mix)
+    assert {s for (_, s), x in r.items() if x.short} == {"b", "none"}
+    # deal a shard less: nothing is exhausted any more, so the report changes
+    whole = mixing._split
+    monkeypatch.setattr(mixing, "_split", lambda shards, seed: lambda pdf: whole(shards, seed)(pdf).query("shard > 0"))
+    _, r = mixed(spark, docs, mix)
+    assert r[1, "b"].drawn_size < 100 and not r[1, "b"].short
+
+
+def test_shards_follow_the_size_of_the_mix(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_SIZE", 100)
+    docs, mix = [(i, "a", "w w w") for i in range(2000)], [(1, "a", 1.0, 1, 1.0)]
+    m, r = mixed(spark, docs, mix)
+    got = m.toPandas().groupby("shard")["size"].sum()
+    assert len(got) == 60 and got.max() < 400 and r[1, "a"].drawn_size == 6000

@@ -1,6 +1,6 @@
 """Mixing sources to target shares of size.
 
-Method: documents fall into ``BLOCKS`` hash blocks of their source. A mix needs, of each
+Method: documents fall into hash blocks of their source, ``BLOCKS`` or four for every shard. A mix needs, of each
 source, a number of whole passes over its blocks plus a part of one more pass, taken as
 whole blocks in a random order, then whole sub-blocks of the block that is cut, then
 documents of the sub-block that is cut. Those block draws are exact quotas; a splitting
@@ -8,15 +8,20 @@ tree halves the output shards again and again and draws, by a multivariate hyper
 law, how many block draws of each source go left. At the leaves every shard takes its
 disjoint run of the permuted draws and orders its documents by a random key.
 
+Whether a source falls short is read off the draw: every permitted repetition of the source was
+dealt to the shards and still less came out than its share asks for.
+
 Only block tables (a bounded number of rows for each mix and source) meet windows; texts
-are read once, to be sized. Defined cases: null text has size 0; documents of null or
+are read once, to be sized. There is a shard for every ``SHARD_SIZE`` of the largest mix, so
+shards do not grow with the corpus. Defined cases: null text has size 0; documents of null or
 unlisted sources count towards the total only; targets without a mix id form a mix of their own; a source without documents, a null share or
-a null ``max_repeat`` draws nothing; repeated (mix, source) rows are judged apart but drawn
-from the one with the largest share; empty tables give empty results.
+a null ``max_repeat`` draws nothing; repeated (mix, source) rows are drawn
+from the one with the largest share, the others are judged by what there is; empty tables give empty results.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -27,8 +32,8 @@ from pyspark.sql import functions as F
 
 from thicket.plans.runtime import cut
 
-#: Hash blocks of a source, and sub-blocks of a block.
-BLOCKS = 512
+#: Hash blocks of a source at least, and sub-blocks of a block; least number of shards; size of a shard.
+BLOCKS, SHARDS, SHARD_SIZE = 512, 16, 50_000_000
 #: Stands for a null mix while mixes are told apart.
 _NO_MIX = -(2**62)
 #: Fixed value: the unit of size, with white space spelled out as Unicode has it (Java's \s is ASCII).
@@ -61,9 +66,9 @@ def token_sizes(documents: DataFrame, ranks: str, pattern: str, text: str = "tex
     return documents.select("doc_id", "source", F.col(text).alias("text")).mapInPandas(count, "doc_id long, source string, size long")
 
 
-def _blocked(sized: DataFrame) -> DataFrame:
-    h = F.xxhash64(F.lit("mix"), F.col("doc_id"))
-    return sized.select("doc_id", "source", "size", F.pmod(h, F.lit(BLOCKS)).cast("int").alias("b"), F.pmod(F.shiftright(h, 20), F.lit(BLOCKS)).cast("int").alias("b2"))
+def _blocked(sized: DataFrame, count: int) -> DataFrame:
+    h, again = F.xxhash64(F.lit("mix"), F.col("doc_id")), F.xxhash64(F.lit("within"), F.col("doc_id"))
+    return sized.select("doc_id", "source", "size", F.pmod(h, F.lit(count)).cast("int").alias("b"), F.pmod(again, F.lit(BLOCKS)).cast("int").alias("b2"))
 
 
 def _targets(mix: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -81,10 +86,16 @@ def _targets(mix: DataFrame, blocks: DataFrame) -> DataFrame:
         .withColumn("goal", goal)
         .withColumn("passes", F.when(F.col("have") > 0, F.floor(F.col("goal") / F.col("have"))).otherwise(0).cast("int"))
         .withColumn("part", F.col("goal") - F.col("passes") * F.col("have"))
-        .withColumn("short", F.col("want") > F.col("cap"))
     )
 
 
+def _shards(sizes: DataFrame, mix: DataFrame) -> int:
+    """Shards for the largest mix that may be asked for."""
+    total = sizes.agg(F.sum("size")).first()[0] or 0
+    ratio = mix.groupBy("mix_id").agg(F.sum(F.col("share") * F.col("budget_ratio")).alias("r")).agg(F.max("r")).first()[0] or 0.0
+    return max(SHARDS, math.ceil(total * ratio / SHARD_SIZE))
+
+
 def _prefix(parts: DataFrame, key: str, seed: int) -> DataFrame:
     """Cumulated size of ``parts`` within a mix and source, in a random order of ``key``."""
     order = Window.partitionBy("mix_id", "source").orderBy(F.xxhash64(F.lit(seed), "mix_id", key), key)
@@ -117,19 +128,22 @@ def _split(shards: int, seed: int):
     return tree
 
 
-def compose(sized: DataFrame, mix: DataFrame, shards: int = 16, seed: int = 11) -> tuple[DataFrame, DataFrame]:
+def compose(sized: DataFrame, mix: DataFrame, shards: int | None = None, seed: int = 11) -> tuple[DataFrame, DataFrame]:
     """The mix and its report.
 
     Mix: ``mix_id, shard, source, doc_id, copy, size, order_key``. Report, one row per row of
     ``mix``: ``mix_id, source, share, want_size, max_size, drawn_size, drawn_share, passes,
-    short``; ``short`` says that the source cannot fill its share within ``max_repeat``.
+    short``; ``short`` says that the source, dealt ``max_repeat`` times in full, did not fill its share.
     """
     mix = mix.withColumn("mix_id", F.coalesce(F.col("mix_id").cast("long"), F.lit(_NO_MIX)))
-    docs = cut(_blocked(sized))
+    docs = cut(sized.select("doc_id", "source", "size"))
+    shards = shards or _shards(docs, mix)
+    docs = _blocked(docs, max(BLOCKS, 4 * shards))
     blocks = cut(docs.groupBy("source", "b").agg(F.sum("size").alias("size"), F.count("*").alias("docs")))
     targets = cut(_targets(mix, blocks))
     best = Window.partitionBy("mix_id", "source").orderBy(F.desc_nulls_last("share"), "passes", "part")
-    wanted = targets.withColumn("_rank", F.row_number().over(best)).filter("_rank = 1").select("mix_id", "source", "passes", "part", "have")
+    targets = targets.withColumn("_drawn", F.row_number().over(best) == 1)
+    wanted = targets.filter("_drawn").select("mix_id", "source", "passes", "part", "have")
     # whole passes, and the whole blocks of the part of a pass
     full = wanted.filter("passes > 0").select("mix_id", "source", F.explode(F.sequence(F.lit(1), F.col("passes"))).alias("copy")).join(blocks, "source").select("mix_id", "source", "copy", "b")
     extra = _prefix(wanted.filter("part > 0").join(blocks, "source"), "b", seed)
@@ -168,7 +182,7 @@ def compose(sized: DataFrame, mix: DataFrame, shards: int = 16, seed: int = 11)
             F.coalesce("drawn_size", F.lit(0)).alias("drawn_size"),
             (F.coalesce("drawn_size", F.lit(0)) / F.nullif(F.col("mix_size"), F.lit(0))).alias("drawn_share"),
             "passes",
-            "short",
+            F.when(F.col("_drawn"), (F.coalesce("drawn_size", F.lit(0)) < F.col("want")) & (F.coalesce("drawn_size", F.lit(0)) >= F.col("cap"))).otherwise(F.col("want") > F.col("cap")).alias("short"),
         )
     )
     kind = F.nullif(F.col("mix_id"), F.lit(_NO_MIX)).cast("int").alias("mix_id")
