@@ -47,3 +47,40 @@ def test_usable_vectors(spark):
     s = spark.createDataFrame(rows, "node_id long, subgraph_id long, feat array<float>").selectExpr("*", "1 as d", "2 as nfeats", "3 as _sid")
     m = spark.createDataFrame([(1, 2, 7), (2, None, 7)], "subgraph_id long, nfeats int, node_id int")
     assert [(r.node_id, r.d) for r in vectors.usable(s, m).collect()] == [(1, 2)]
+
+
+def clustered(n=1500, d=8):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(0, 20, (n // 15, d))
+    return [(i, d, (centres[i % len(centres)] + rng.normal(0, 0.5, d)).tolist()) for i in range(n)]
+
+
+def recall(got, want):
+    return len({(r.probe_id, r.node_id) for r in got} & want) / len(want)
+
+
+def test_footrule_alone_finds_nearly_all_and_random_orders_do_not(spark, monkeypatch):
+    rows = clustered()
+    asks = [(i, *rows[i], 10) for i in range(0, 1500, 50)]
+    i, a, want = spark.createDataFrame(rows, ROW), spark.createDataFrame(asks, ASK), brute(rows, asks)
+    good = neighbours.neighbours(i, a, exact=False).collect()
+    assert recall(good, want) >= 0.9
+    right = neighbours._index
+
+    def shuffled(shared):
+        def run(batches):
+            rng = np.random.default_rng(0)
+            for b in right(shared)(batches):
+                many = max(len(p) for p in shared.value.values())
+                yield b.assign(perm=[rng.permutation(many)[: min(many, len(p) // 2)].astype(np.int16).tobytes() for p in b.perm])
+
+        return run
+
+    monkeypatch.setattr(neighbours, "_index", shuffled)
+    assert recall(neighbours.neighbours(i, a, exact=False).collect(), want) < 0.5
+    assert recall(neighbours.neighbours(i, a).collect(), want) == 1.0
+
+
+def test_footrule():
+    a, b = np.array([[0, 1, 2], [3, 4, 5]], np.int16), np.array([[0, 1, 2], [2, 1, 0], [0, 7, 8]], np.int16)
+    assert neighbours.footrule(neighbours._places(a, b), b).tolist() == [[0, 4, 3], [6, 6, 6]]
