@@ -113,12 +113,12 @@ def _spread_over(salts: dict[tuple[int, int], int], d: int, key: np.ndarray) ->
     return row, np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
 
 
-def _entries(salts: dict[tuple[int, int], int]):
+def _entries(salts: dict[tuple[int, int], int], files: int = FILES):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """The inverted files: a posting for each of the first FILES pivots of a vector."""
+        """The inverted files: a posting for each of the first pivots of a vector."""
         for b in batches:
             for d, part in b.groupby("d"):
-                perm = np.frombuffer(b"".join(part.perm), np.int16).reshape(len(part), -1)[:, :FILES]
+                perm = np.frombuffer(b"".join(part.perm), np.int16).reshape(len(part), -1)[:, :files]
                 row, pivot = np.repeat(np.arange(len(part)), perm.shape[1]), perm.ravel().astype(np.int64)
                 ids = part.node_id.to_numpy()[row]
                 many = np.array([salts.get((int(d), v), 1) for v in pivot.tolist()], np.uint64)
@@ -190,6 +190,22 @@ def _rank(entries: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(out) if out else pd.DataFrame({c: np.zeros(0, np.int64) for c in ("probe_id", "d", "k", "node_id", "foot")})
 
 
+def _bound(entries: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
+    """The footrule within which one block alone has as many postings as are wanted."""
+    out = []
+    if len(entries) and len(asks):
+        entries = entries.drop_duplicates("node_id")
+        ids, n = entries.node_id.to_numpy(), len(entries)
+        perm = np.frombuffer(b"".join(entries.perm), np.int16).reshape(n, -1)
+        mine = np.frombuffer(b"".join(asks.perm), np.int16).reshape(len(asks), -1)
+        for i, (probe, self_id, k) in enumerate(zip(asks.probe_id.tolist(), asks.self_id.tolist(), asks.k.tolist())):
+            want = max(LEAST, CANDIDATES * k)
+            if n > want:
+                foot = footrule(_places(mine[i : i + 1], perm), perm)[0][ids != self_id]
+                out.append((probe, int(np.partition(foot, want - 1)[want - 1])))
+    return pd.DataFrame(out, columns=["probe_id", "most"]).astype("int64")
+
+
 def _rerank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """True distances of fetched candidates."""
     for b in batches:
@@ -283,12 +299,12 @@ def candidates(index: Index, queries: DataFrame) -> DataFrame:
     by = ["d", "pivot", "salt"]
     want = F.greatest(F.lit(LEAST), F.lit(CANDIDATES) * F.col("k"))
     best = Window.partitionBy("probe_id").orderBy("foot", "node_id")
-    # the file of the nearest pivot first: its best postings bound the footrule of those worth sending from others
-    home = went.filter("home").withColumn("most", F.lit(_AWAY))
-    first = cut(files.groupBy(by).cogroup(home.groupBy(by)).applyInPandas(_rank, _RANKED))
-    bound = first.withColumn("r", F.row_number().over(best)).filter(F.col("r") == want).select("probe_id", F.col("foot").alias("most"))
-    others = went.filter("not home").join(bound, "probe_id", "left").withColumn("most", F.coalesce("most", F.lit(_AWAY)))
-    ranked = first.unionByName(files.groupBy(by).cogroup(others.groupBy(by)).applyInPandas(_rank, _RANKED))
+    # the file of the nearest pivot bounds the footrule of postings worth sending on from any file
+    home = went.filter("home")
+    core = posted.select("d", "node_id", "perm").mapInPandas(_entries(salts, 1), _ENTRY).join(open_files, ["d", "pivot"], "left_semi")
+    bound = core.groupBy(by).cogroup(home.groupBy(by)).applyInPandas(_bound, "probe_id long, most long").groupBy("probe_id").agg(F.min("most").cast("int").alias("most"))
+    bounded = went.join(bound, "probe_id", "left").withColumn("most", F.coalesce("most", F.lit(_AWAY)))
+    ranked = files.groupBy(by).cogroup(bounded.groupBy(by)).applyInPandas(_rank, _RANKED)
     chosen = ranked.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= want).select("probe_id", "d", "k", "node_id")
     vec = asks.mapInPandas(_packed, "probe_id long, qvec binary")
     fetched = chosen.join(posted.select("d", "node_id", "vec"), ["d", "node_id"]).join(vec, "probe_id")
