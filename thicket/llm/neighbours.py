@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from thicket.llm import vectors
 from thicket.plans.runtime import cut
 
-PIVOTS_PER_ROOT, MAX_PIVOTS, PREFIX = 0.7, 2048, 24
+PIVOTS_PER_ROOT, MAX_PIVOTS, PREFIX = 0.7, 2048, 20
 #: Inverted files that a vector is posted in, and that a query visits.
 FILES, VISITS = 2, 12
 #: Candidates reranked for each neighbour wanted, and at least.
@@ -303,6 +303,7 @@ def candidates(index: Index, queries: DataFrame) -> DataFrame:
     home = went.filter("home")
     core = posted.select("d", "node_id", "perm").mapInPandas(_entries(salts, 1), _ENTRY).join(open_files, ["d", "pivot"], "left_semi")
     bound = core.groupBy(by).cogroup(home.groupBy(by)).applyInPandas(_bound, "probe_id long, most long").groupBy("probe_id").agg(F.min("most").cast("int").alias("most"))
+    bound = cut(bound)
     bounded = went.join(bound, "probe_id", "left").withColumn("most", F.coalesce("most", F.lit(_AWAY)))
     ranked = files.groupBy(by).cogroup(bounded.groupBy(by)).applyInPandas(_rank, _RANKED)
     chosen = ranked.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= want).select("probe_id", "d", "k", "node_id")
