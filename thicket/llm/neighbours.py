@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from thicket.llm import vectors
-from thicket.plans.runtime import cut
+from thicket.plans.runtime import cut, sized_broadcast
 
 PIVOTS_PER_ROOT, MAX_PIVOTS, PREFIX = 0.7, 2048, 20
 #: Inverted files that a vector is posted in, and that a query visits.
@@ -287,7 +287,7 @@ def _asked(queries: DataFrame) -> DataFrame:
 
 
 def candidates(index: Index, queries: DataFrame) -> DataFrame:
-    """``probe_id, k, node_id, distance`` of what the footrule puts first, reranked by true distance."""
+    """``probe_id, k, node_id, distance`` of what the footrule puts first, with true distances; redelivered rows repeat."""
     posted, spark = index.posted, queries.sparkSession
     shared = spark.sparkContext.broadcast(index.pivots)
     asks = _asked(queries)
@@ -307,9 +307,9 @@ def candidates(index: Index, queries: DataFrame) -> DataFrame:
     bounded = went.join(bound, "probe_id", "left").withColumn("most", F.coalesce("most", F.lit(_AWAY)))
     ranked = files.groupBy(by).cogroup(bounded.groupBy(by)).applyInPandas(_rank, _RANKED)
     chosen = ranked.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= want).select("probe_id", "d", "k", "node_id")
-    vec = asks.mapInPandas(_packed, "probe_id long, qvec binary")
+    vec = sized_broadcast(asks.mapInPandas(_packed, "probe_id long, qvec binary"))
     fetched = chosen.join(posted.select("d", "node_id", "vec"), ["d", "node_id"]).join(vec, "probe_id")
-    return fetched.mapInPandas(_rerank, _FOUND).dropDuplicates(["probe_id", "node_id"])
+    return fetched.mapInPandas(_rerank, _FOUND)
 
 
 def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -318,8 +318,9 @@ def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _nearest_k(found: DataFrame) -> DataFrame:
+    """The k nearest; rows that repeat through redelivery share a rank and count once."""
     best = Window.partitionBy("probe_id").orderBy("distance", "node_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter("rank <= k")
+    return found.withColumn("rank", F.dense_rank().over(best)).filter("rank <= k").dropDuplicates(["probe_id", "rank"])
 
 
 def neighbours(index: DataFrame, queries: DataFrame, per_root: float = PIVOTS_PER_ROOT, block: int = FILE_ROWS, seed: int = 3, exact: bool = True) -> DataFrame:
