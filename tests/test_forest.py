@@ -211,8 +211,8 @@ def test_agglomerative_learning_goes_on_while_rows_move(spark, monkeypatch):
         return scored, train, int(left[0] >= 0)
 
     monkeypatch.setattr(supervised, "cut", lambda df: df)
-    monkeypatch.setattr(supervised, "fit", lambda train, metric: train)
-    monkeypatch.setattr(supervised, "classify", lambda model, rest, metric: rest)
+    monkeypatch.setattr(supervised, "fit", lambda train, metric, distances: train)
+    monkeypatch.setattr(supervised, "classify", lambda model, rest, metric, distances: rest)
     monkeypatch.setattr(supervised.prepare, "move_misclassified", move)
     s = spark.createDataFrame(blobs(4), SAMPLE)
     assert supervised.agglomerative_learn(s, s)[1] == 55

@@ -596,7 +596,7 @@ def semi_train(spark: SparkSession, d: str) -> DataFrame:
 def _conquering(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """A model, and its nodes that conquer evaluation rows with all their ancestors."""
     train, evaluation, _ = _three(spark, d)
-    model = cut(supervised.fit(train))
+    model = supervised.fit(train)
     marked = supervised.classify(model, evaluation).select(F.col("conqueror").alias("position"))
     return model, supervised.ancestor_closure(model, marked)
 

@@ -12,14 +12,14 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thicket.functions.distances import Distance, distance
 from thicket.operators import maxtree
 from thicket.operators.pairwise import BLOCK, knn_graph, matrix, max_per_rank, meet, plateau_arcs, radius
 from thicket.plans.components import components
-from thicket.plans.runtime import cut
+from thicket.plans.runtime import cut, numbered
 
 #: Fixed value: the top of the density scale.
 MAX_DENSITY = 1000.0
@@ -102,24 +102,26 @@ def spread(arcs: DataFrame, dens: DataFrame) -> DataFrame:
     schema = "position long, dens double, pathval double, root long, pred long, level double, turn long"
     # a queue takes the component whose head is highest, then the smaller id, as far as its level falls
     grown = cut(tagged.groupBy("c").applyInPandas(lambda pdf: _spread(pdf.drop(columns="c")), schema))
-    ranked = grown.withColumn("rank", F.row_number().over(Window.partitionBy().orderBy(F.desc("level"), "turn", "position")))
-    roots = ranked.filter("pred is null").select(F.col("position").alias("root"), (F.row_number().over(Window.partitionBy().orderBy("rank")) - 1).alias("label"))
+    ranked = numbered(grown, "rank", F.desc("level"), F.col("turn"), F.col("position"))
+    roots = numbered(ranked.filter("pred is null").select(F.col("position").alias("root"), "rank"), "label", F.col("rank"), start=0).drop("rank")
     return ranked.drop("level", "turn").join(roots, "root")
 
 
-def best_k(samples: DataFrame, kmax: int, kmin: int = 1, metric: str | Distance = "euclid_log") -> tuple[int, DataFrame, DataFrame]:
+def best_k(samples: DataFrame, kmax: int, kmin: int = 1, metric: str | Distance = "euclid_log", distances: DataFrame | None = None) -> tuple[int, DataFrame, DataFrame]:
     """The k of least normalised cut, the cut of every k tried, and the arcs of that k.
 
-    The k_max-NN arcs are built once; each k filters them by rank. The first least k wins and a
-    cut of 0 ends the search.
+    The k_max-NN arcs are built once; each k filters them by rank. The cut counts the arcs added
+    between nodes of equal density too. The first least k wins and a cut of 0 ends the search.
+    ``distances`` may hold given ``i, j, d``.
     """
-    arcs = cut(knn_graph(samples, kmax, metric))
+    arcs = cut(knn_graph(samples, kmax, metric, distances))
     tops = {r["rank"]: r.max_d for r in max_per_rank(arcs).collect()}  # kmax rows
     best, least, tried = kmin, math.inf, []
     for k in range(kmin, kmax + 1):
         part = arcs.filter(F.col("rank") <= k)
         dens = cut(density(part, tops.get(k) or 1.0))
-        value = normalized_cut(part, spread(part, dens)).first()[0]
+        full = part.select("i", "j", "d").unionByName(plateau_arcs(part, dens))
+        value = normalized_cut(full, spread(part, dens)).first()[0]
         tried.append((k, float(value)))
         if value < least:
             best, least = k, value
@@ -142,12 +144,12 @@ def filter_parameter(dens: DataFrame, kind: str, share: float) -> float:
     return {"height": share * (top or 0), "area": math.floor(share * n), "volume": math.floor(share * (total or 0) / max(n, 1))}[kind]
 
 
-def cluster(samples: DataFrame, kmax: int, kind: str | None = None, value: float = 0.0, metric: str | Distance = "euclid_log") -> DataFrame:
+def cluster(samples: DataFrame, kmax: int, kind: str | None = None, value: float = 0.0, metric: str | Distance = "euclid_log", distances: DataFrame | None = None) -> DataFrame:
     """The clustering program: best k, densities, optional maxima filter, clusters.
 
     ``kind`` is height, area or volume. Returns ``spread`` columns plus ``radius, feat, truelabel``.
     """
-    _, _, arcs = best_k(samples, kmax, 1, metric)
+    _, _, arcs = best_k(samples, kmax, 1, metric, distances)
     arcs = cut(arcs)
     dens = cut(density(arcs))
     if kind is not None:
@@ -163,8 +165,11 @@ def root_labels(clustered: DataFrame) -> DataFrame:
     return clustered.join(known, "root").withColumn("root_label", F.when(F.col("_y") > 0, F.col("_y")).otherwise(F.col("label") + 1)).drop("_y")
 
 
-def knn_classify(model: DataFrame, test: DataFrame, metric: str | Distance = "euclid_log", label: str = "label", block: int = BLOCK) -> DataFrame:
-    """``test`` with the label of the first model node, by rank, whose radius it lies in, else 0."""
+def knn_classify(model: DataFrame, test: DataFrame, metric: str | Distance = "euclid_log", label: str = "label", block: int = BLOCK, distances: DataFrame | None = None) -> DataFrame:
+    """``test`` with the label of the first model node, by rank, whose radius it lies in, else 0.
+
+    ``distances`` may hold given ``i`` (test), ``j`` (model), ``d``.
+    """
     m = distance(metric) if isinstance(metric, str) else metric
 
     def kernel(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
@@ -174,6 +179,10 @@ def knn_classify(model: DataFrame, test: DataFrame, metric: str | Distance = "eu
         return pd.DataFrame({"position": a.position.to_numpy()[hit], "rank": b["rank"].to_numpy()[at[hit]], "label": b.label.to_numpy()[at[hit]]})
 
     base = test.drop("label")
-    got = meet(base.select("position", "feat"), model.select("position", "feat", "radius", "rank", F.col(label).cast("int").alias("label")), kernel, "position long, rank int, label int", block)
+    slim = model.select("position", "feat", "radius", "rank", F.col(label).cast("int").alias("label"))
+    if distances is not None:
+        got = distances.join(slim.drop("feat").withColumnRenamed("position", "j"), "j").filter("d <= radius").select(F.col("i").alias("position"), "rank", "label")
+    else:
+        got = meet(base.select("position", "feat"), slim, kernel, "position long, rank int, label int", block)
     best = got.groupBy("position").agg(F.min(F.struct("rank", "label")).alias("_s")).select("position", F.col("_s.label").alias("label"))
     return base.join(best, "position", "left").withColumn("label", F.coalesce("label", F.lit(0)))

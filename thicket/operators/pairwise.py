@@ -2,12 +2,14 @@
 
 Rows fall into hash blocks of about ``BLOCK`` rows. Each pair of blocks meets in one task as two
 matrices, and only what is asked for leaves it (k nearest, least cost, or the distances), so
-memory stays bounded by blocks at every size. Ties go to the smaller id.
+memory stays bounded by blocks at every size. A right side of at most ``HELD_ROWS`` rows and
+``HELD_NUMBERS`` numbers (both counted) is sent to every task instead, and nothing is paired by a
+shuffle. Ties go to the smaller id.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,8 +17,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from thicket.functions.distances import Distance, distance
+from thicket.plans.runtime import parallelism
 
 BLOCK = 1024
+#: Rows and feature values of a side that every task may hold.
+HELD_ROWS, HELD_NUMBERS = 20_000, 4_000_000
 
 
 def blocks_of(df: DataFrame, block: int = BLOCK) -> int:
@@ -24,8 +29,27 @@ def blocks_of(df: DataFrame, block: int = BLOCK) -> int:
     return max(1, -(-df.count() // block))
 
 
-def meet(left: DataFrame, right: DataFrame, kernel: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, block: int = BLOCK, key: str = "position") -> DataFrame:
+def held(df: DataFrame, key: str = "position", rows: int = HELD_ROWS) -> pd.DataFrame | None:
+    """``df`` as one frame in order of ``key`` if its counted size allows it to be sent to every task."""
+    size = df.limit(rows + 1).agg(F.count("*").alias("n"), F.max(F.size("feat")).alias("d")).first()
+    if size.n > rows or size.n * max(size.d or 0, 1) > HELD_NUMBERS:
+        return None
+    return df.toPandas().sort_values(key)  # bounded by HELD_ROWS and HELD_NUMBERS
+
+
+def meet(left: DataFrame, right: DataFrame, kernel: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, block: int = BLOCK, key: str = "position", rows: int = HELD_ROWS) -> DataFrame:
     """Applies ``kernel`` to every pair of a block of ``left`` and a block of ``right``."""
+    small = held(right, key, rows) if block == BLOCK else None
+    if small is not None:
+        shared = left.sparkSession.sparkContext.broadcast(small)
+
+        def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for lo in range(0, len(b), BLOCK):
+                    if len(shared.value):
+                        yield kernel(b.iloc[lo : lo + BLOCK].sort_values(key), shared.value)
+
+        return left.repartition(parallelism(left.sparkSession), key).mapInPandas(each, schema)
     nl, nr = blocks_of(left, block), blocks_of(right, block)
     h = F.xxhash64(key)
     a = left.withColumn("_a", F.pmod(h, F.lit(nl)).cast("int")).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(nr - 1))))

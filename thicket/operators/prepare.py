@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from thicket.plans.runtime import numbered
+
 
 def shuffle_key(seed: int, position: str = "position") -> Column:
     return F.md5(F.concat(F.col(position).cast("string"), F.lit(f":{seed}")))
@@ -101,12 +103,11 @@ def move_irrelevant(source: DataFrame, target: DataFrame) -> tuple[DataFrame, Da
 def swap_errors(train: DataFrame, evaluated: DataFrame, seed: int = 1) -> tuple[DataFrame, DataFrame]:
     """Misclassified evaluation rows change places with random non-prototypes.
 
-    ``train`` has ``is_prototype``; ``evaluated`` has ``label``. Both keep their sizes. The
-    window orders the swapped rows only: at most the errors, or the non-prototypes.
+    ``train`` has ``is_prototype``; ``evaluated`` has ``label``. Both keep their sizes.
     """
     base = ["position", "truelabel", "feat"]
-    errors = evaluated.filter("label != truelabel").withColumn("_n", F.row_number().over(Window.partitionBy().orderBy(shuffle_key(seed), "position")))
-    spare = train.filter("not is_prototype").withColumn("_n", F.row_number().over(Window.partitionBy().orderBy(shuffle_key(seed + 1), "position")))
+    errors = numbered(evaluated.filter("label != truelabel"), "_n", shuffle_key(seed), F.col("position"))
+    spare = numbered(train.filter("not is_prototype"), "_n", shuffle_key(seed + 1), F.col("position"))
     into = errors.join(spare.select("_n"), "_n", "left_semi").select(base)
     out = spare.join(errors.select("_n"), "_n", "left_semi").select(base)
     new_train = train.select(base).join(out.select("position"), "position", "left_anti").unionByName(into)

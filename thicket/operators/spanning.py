@@ -25,7 +25,7 @@ LOCAL_ROWS, LOCAL_EDGES = 4000, 1_000_000
 _EDGE = "a long, b long, d double"
 
 
-def _prim(ids: np.ndarray, row) -> pd.DataFrame:
+def grow_tree(ids: np.ndarray, row) -> pd.DataFrame:
     """Tree by growing from the first row; ``row(p)`` gives all distances of row p."""
     n = len(ids)
     best, by = np.full(n, np.inf), np.full(n, -1)
@@ -69,7 +69,7 @@ def spanning_tree(samples: DataFrame, metric: str | Distance = "euclid_log", dis
             if got:
                 pdf = pd.concat(got).sort_values("position")
                 x = matrix(pdf.feat)
-                yield _prim(pdf.position.to_numpy(np.int64), lambda p: m.block(x[p : p + 1], x)[0])
+                yield grow_tree(pdf.position.to_numpy(np.int64), lambda p: m.block(x[p : p + 1], x)[0])
 
         return slim.coalesce(1).mapInPandas(grow, _EDGE)
     return _boruvka(slim, lambda comp: _least_block(slim.join(comp, "position"), m, block))
@@ -125,13 +125,13 @@ def minimax(tree: DataFrame, sources: DataFrame, local_edges: int = LOCAL_EDGES)
     start = sources.select("position", F.lit(0.0).alias("pathval"), F.col("position").alias("root"), F.lit(None).cast("long").alias("pred"))
     if both.limit(2 * local_edges + 1).count() <= 2 * local_edges:
 
-        def flood(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             got = [b for b in batches if len(b)]
             if got:
-                yield _flood(pd.concat(got))
+                yield flood(pd.concat(got))
 
         rows = both.select("a", "b", "d").unionByName(sources.select(F.col("position").alias("a"), F.lit(None).cast("long").alias("b"), F.lit(0.0).alias("d")))
-        return rows.coalesce(1).mapInPandas(flood, "position long, pathval double, root long, pred long")
+        return rows.coalesce(1).mapInPandas(whole, "position long, pathval double, root long, pred long")
     both, state = cut(both), cut(start)
     while True:
         offers = both.join(state.withColumnRenamed("position", "a"), "a").select(F.col("b").alias("position"), F.greatest("pathval", "d").alias("pathval"), "root", F.col("a").alias("pred"))
@@ -142,7 +142,8 @@ def minimax(tree: DataFrame, sources: DataFrame, local_edges: int = LOCAL_EDGES)
         state = new
 
 
-def _flood(rows: pd.DataFrame) -> pd.DataFrame:
+def flood(rows: pd.DataFrame) -> pd.DataFrame:
+    """Minimax costs over arcs ``a, b, d``; a row without ``b`` is a source."""
     near: dict[int, list[tuple[int, float]]] = {}
     heap: list[tuple[float, int, int, int | None]] = []
     for a, b, d in zip(rows.a.tolist(), rows.b.tolist(), rows.d.tolist()):

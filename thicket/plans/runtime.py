@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows up to which a side may be broadcast; the count is taken before the join.
@@ -29,16 +31,38 @@ def local_session(cores: str = "8", partitions: int = 8, app: str = "thicket") -
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the reliable checkpoint folder and cut its lineage.
 
-    The folder is the one named by ``spark.checkpoint.dir``; only where that is
-    unset (tests, a laptop) a temporary one is made.
+    The folder is the one named by ``spark.checkpoint.dir``. Only in a single JVM (tests, a
+    laptop) a temporary one, removed at exit, is made where that is unset; on a cluster
+    executors share no local folder, so there it must be set.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="thicket-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if sc.master != "local" and not sc.master.startswith("local["):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="thicket-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
+def numbered(df: DataFrame, name: str, *order: str | Column, start: int = 1, small: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` with ``name`` = 1, 2, ... in a total order.
+
+    Beyond ``small`` rows (counted) no task sees them all: rows are sorted by ranges, and every
+    range adds the number of rows in those before it.
+    """
+    if df.limit(small + 1).count() <= small:
+        return df.withColumn(name, (F.row_number().over(Window.partitionBy().orderBy(*order)) + (start - 1)).cast("int"))
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = cut(ranged.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
+    parts = placed.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = parts.withColumn("_before", F.sum("_n").over(Window.partitionBy().orderBy("_part")) - F.col("_n"))  # one row a partition
+    at = F.col("_at") - F.col("_first") + F.col("_before") + start
+    return placed.join(F.broadcast(before.select("_part", "_first", "_before")), "_part").withColumn(name, at.cast("int")).drop("_part", "_at", "_first", "_before")
+
+
 def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it holds at most ``max_rows`` rows.
 

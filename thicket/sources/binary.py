@@ -4,8 +4,8 @@
 features), ``forest_training`` (the same header; rows label, id, path cost, features),
 ``forest_model`` and ``forest_distances``. Records have a fixed width, so a file is read in
 ranges of rows by many tasks; ``partition_rows`` sets their size. All numbers are 32-bit little
-endian. ``write_*`` stream partitions to one file through the driver, as these formats ask for.
-A file shorter than its header says raises ValueError.
+endian. ``write_*`` lay out one file, as these formats ask for, into which every task writes its own
+rows at their offset; paths are local ones or those of a mounted folder that all executors share. A file shorter than its header says raises ValueError.
 """
 
 from __future__ import annotations
@@ -14,9 +14,13 @@ import os
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from thicket.plans.runtime import cut, numbered
+
 _INT, _FLOAT = np.dtype("<i4"), np.dtype("<f4")
 
 
@@ -144,43 +148,84 @@ def _size(df: DataFrame) -> tuple[int, int, int]:
     return r.nnodes, r.nlabels, r.nfeats
 
 
+def _write(df: DataFrame, path: str, head: bytes, kind: np.dtype, cols: list[str]) -> DataFrame:
+    """Records in order of position, each task writing its own stretch of the file at its offset.
+
+    The folder of ``path`` must be one that all executors share. Returns the rows with their number ``row``.
+    """
+    rows = cut(numbered(df.select(*cols), "row", F.col("position"), start=0))
+    n = rows.count()
+    with open(path, "wb") as f:
+        f.write(head)
+        f.truncate(len(head) + n * kind.itemsize)
+
+    def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b = b.sort_values("row")
+            out = np.zeros(len(b), kind)
+            for c in kind.names:
+                v = b[c]
+                out[c] = np.stack(v.to_numpy()) if c == "feat" and len(b) else v.fillna(-1 if c == "pred" else 0).to_numpy()
+            at = b["row"].to_numpy()
+            with open(path, "r+b") as f:
+                for lo, hi in zip(*(np.flatnonzero(np.diff(at, **end) != 1) for end in ({"prepend": -9}, {"append": -9}))):
+                    f.seek(len(head) + int(at[lo]) * kind.itemsize)
+                    f.write(out[lo : hi + 1].tobytes())
+            yield pd.DataFrame({"n": [len(b)]})
+
+    rows.mapInPandas(put, "n long").agg(F.sum("n")).collect()
+    return rows
+
+
 def write_samples(df: DataFrame, path: str) -> None:
     n, labels, feats = _size(df)
     kind = np.dtype([("position", _INT), ("truelabel", _INT), ("feat", _FLOAT, (feats,))])
-    with open(path, "wb") as f:
-        np.array([n, labels, feats], _INT).tofile(f)
-        for r in df.select("position", "truelabel", "feat").orderBy("position").toLocalIterator(True):
-            f.write(np.array([(r.position, r.truelabel, r.feat)], kind).tobytes())
+    _write(df, path, np.array([n, labels, feats], _INT).tobytes(), kind, ["position", "truelabel", "feat"])
 
 
 def write_training(df: DataFrame, path: str) -> None:
     n, labels, feats = _size(df)
     kind = np.dtype([("truelabel", _INT), ("position", _INT), ("pathval", _FLOAT), ("feat", _FLOAT, (feats,))])
-    with open(path, "wb") as f:
-        np.array([n, labels, feats], _INT).tofile(f)
-        for r in df.select("position", "truelabel", "pathval", "feat").orderBy("position").toLocalIterator(True):
-            f.write(np.array([(r.truelabel, r.position, r.pathval, r.feat)], kind).tobytes())
+    _write(df, path, np.array([n, labels, feats], _INT).tobytes(), kind, ["position", "truelabel", "pathval", "feat"])
 
 
 def write_model(df: DataFrame, path: str, width: float = 0.0, kscale: float = 0.0, low: float = 0.0, high: float = 0.0) -> None:
     """Rows in order of position; the conquest order follows as row numbers."""
     n, labels, feats = _size(df)
     kind = np.dtype([("position", _INT), ("truelabel", _INT), ("pred", _INT), ("label", _INT), ("pathval", _FLOAT), ("radius", _FLOAT), ("feat", _FLOAT, (feats,))])
-    cols = ["position", "truelabel", "pred", "label", "pathval", "radius", "rank", "feat"]
-    ranks = []
-    with open(path, "wb") as f:
-        np.array([n, labels, feats], _INT).tofile(f)
-        np.array([width, kscale, low, high], _FLOAT).tofile(f)
-        for r in df.select([c for c in cols if c in df.columns]).orderBy("position").toLocalIterator(True):
-            ranks.append(r["rank"])
-            radius = r["radius"] if "radius" in r.asDict() else 0.0
-            f.write(np.array([(r.position, r.truelabel, -1 if r.pred is None else r.pred, r.label, r.pathval, radius or 0.0, r.feat)], kind).tobytes())
-        np.argsort(ranks, kind="stable").astype(_INT).tofile(f)
+    full = df if "radius" in df.columns else df.withColumn("radius", F.lit(0.0))
+    head = np.array([n, labels, feats], _INT).tobytes() + np.array([width, kscale, low, high], _FLOAT).tobytes()
+    rows = _write(full, path, head, kind, [*kind.names, "rank"])
+    start = len(head) + n * kind.itemsize
+    with open(path, "r+b") as f:
+        f.truncate(start + 4 * n)
+    ordered = rows.select("rank", "row")
+
+    def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b = b.sort_values("rank")
+            at = b["rank"].to_numpy() - 1
+            with open(path, "r+b") as f:
+                for lo, hi in zip(*(np.flatnonzero(np.diff(at, **end) != 1) for end in ({"prepend": -9}, {"append": -9}))):
+                    f.seek(start + 4 * int(at[lo]))
+                    f.write(b["row"].to_numpy(_INT)[lo : hi + 1].tobytes())
+            yield pd.DataFrame({"n": [len(b)]})
+
+    ordered.repartitionByRange("rank").mapInPandas(put, "n long").agg(F.sum("n")).collect()
 
 
 def write_distances(pairs: DataFrame, n: int, path: str) -> None:
-    """Positions must be 0 to n - 1."""
+    """Positions must be 0 to n - 1; a task writes whole rows of the matrix."""
     with open(path, "wb") as f:
-        np.array([n], _INT).tofile(f)
-        for r in pairs.orderBy("i", "j").toLocalIterator(True):
-            f.write(np.float32(r.d).tobytes())
+        f.write(np.array([n], _INT).tobytes())
+        f.truncate(4 + 4 * n * n)
+
+    def put(pdf: pd.DataFrame) -> pd.DataFrame:
+        row = np.zeros(n, _FLOAT)
+        row[pdf.j.to_numpy()] = pdf.d.to_numpy()
+        with open(path, "r+b") as f:
+            f.seek(4 + 4 * n * int(pdf.i.iloc[0]))
+            f.write(row.tobytes())
+        return pd.DataFrame({"n": [len(pdf)]})
+
+    pairs.select("i", "j", "d").groupBy("i").applyInPandas(put, "n long").agg(F.sum("n")).collect()
