@@ -216,3 +216,42 @@ def test_agglomerative_learning_goes_on_while_rows_move(spark, monkeypatch):
     monkeypatch.setattr(supervised.prepare, "move_misclassified", move)
     s = spark.createDataFrame(blobs(4), SAMPLE)
     assert supervised.agglomerative_learn(s, s)[1] == 55
+
+
+def test_programs_on_given_distances_equal_those_on_features(spark):
+    s = spark.createDataFrame(blobs(80, spread=2.5), SAMPLE)
+    parts = prepare.split3(s, 0.4, 0.3, 0.3).cache()
+    train, evaluation = (parts.filter(F.col("part") == p).drop("part") for p in ("train", "eval"))
+    given = pairwise.distance_pairs(s, "euclid_log").cache()
+
+    def brief(df, *cols):
+        return sorted(tuple(r) for r in df.select("position", "label", *cols).collect())
+
+    assert brief(supervised.learn(train, evaluation, rounds=2)[0]) == brief(supervised.learn(train, evaluation, rounds=2, distances=given)[0])
+    assert brief(supervised.agglomerative_learn(train, evaluation)[0]) == brief(supervised.agglomerative_learn(train, evaluation, distances=given)[0])
+    assert brief(supervised.prune(train, evaluation, 0.5)[0]) == brief(supervised.prune(train, evaluation, 0.5, distances=given)[0])
+    assert brief(supervised.semi(train, evaluation), "truelabel") == brief(supervised.semi(train, evaluation, distances=given), "truelabel")
+    one, two = clustering.cluster(s, 3), clustering.cluster(s, 3, distances=given)
+    assert brief(one, "root") == brief(two, "root")
+    assert brief(clustering.knn_classify(one, s)) == brief(clustering.knn_classify(two, s, distances=given))
+
+
+def test_semi_learning_improves_the_labeled_rows_and_retrains(spark):
+    parts = prepare.split3(spark.createDataFrame(blobs(60, spread=2.5), SAMPLE), 0.4, 0.3, 0.3).cache()
+    train, evaluation, other = (parts.filter(F.col("part") == p).drop("part") for p in ("train", "eval", "test"))
+    model = supervised.semi_retrained(train, other, evaluation)
+    assert model.count() == train.count() + other.count() and model.filter("truelabel = 0 or label != truelabel").count() == 0
+
+
+def test_blocks_equal_a_side_sent_to_every_task(spark):
+    s = spark.createDataFrame(blobs(90), SAMPLE)
+    one = {tuple(r) for r in pairwise.knn_graph(s, 4).collect()}
+    kernel_rows = pairwise.HELD_ROWS
+    pairwise.HELD_ROWS = 0
+    try:
+        small = pairwise.meet.__defaults__
+        pairwise.meet.__defaults__ = (*small[:-1], 0)
+        two = {tuple(r) for r in pairwise.knn_graph(s, 4).collect()}
+    finally:
+        pairwise.HELD_ROWS, pairwise.meet.__defaults__ = kernel_rows, small
+    assert one == two

@@ -77,3 +77,43 @@ def test_closure_marks_the_conquerors_of_evaluation_rows(spark, small):
             v = pred[v]
     assert want and {r.position for r in entry.queries()["ancestor_closure_conquerors"](spark, small).collect()} == want
     assert {r.position for r in entry.queries()["remove_irrelevant_conquerors"](spark, small).collect()} == want
+
+
+def test_numbers_by_ranges_equal_numbers_by_one_window(spark):
+    from pyspark.sql import functions as F
+
+    from thicket.plans.runtime import numbered
+
+    df = spark.range(500).select((F.col("id") * 7919 % 503).alias("v"), (F.col("id") % 3).alias("g"))
+    one, two = ({tuple(r) for r in numbered(df, "n", F.desc("g"), F.col("v"), small=s).collect()} for s in (1000, 10))
+    assert one == two and {r[2] for r in one} == set(range(1, 501))
+    assert numbered(df.limit(0), "n", F.col("v"), small=0).count() == 0
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    from thicket.plans import runtime
+
+    class Frame:
+        class sparkSession:
+            class sparkContext:
+                master = "yarn"
+                getCheckpointDir = staticmethod(lambda: None)
+
+            class conf:
+                get = staticmethod(lambda *_: None)
+
+    with pytest.raises(RuntimeError):
+        runtime.cut(Frame)
+
+
+PROGRAMS = ["learn", "agglomerative_learn", "prune", "semi_retrained", "cluster", "best_k", "train_labels", "experiment", "swap_errors", "classify_custom", "binary_model"]
+
+
+@pytest.mark.parametrize("name", PROGRAMS)
+def test_programs_equal_their_sql(spark, small, name):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{small}/embeddings.parquet'")
+    got = entry.queries()[name](spark, small)
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({entry.oracle_sql()[name]})").fetchall()
+    assert sorted(map(repr, (tuple(r) for r in got.collect()))) == sorted(map(repr, want)) or same(sorted(tuple(r) for r in got.collect()), sorted(want))

@@ -71,3 +71,42 @@ def test_stream_scores_like_a_batch(spark, samples, tmp_path):
     score_stream(stream, model, str(tmp_path / "cp"), out).awaitTermination(120)
     want = supervised.classify(model, samples.filter("position >= 20"))
     assert same(spark.read.parquet(out), want, ["position", "label"])
+
+
+def test_lines_are_numbered_over_files_and_pieces(spark, tmp_path):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    try:
+        (tmp_path / "a.txt").write_text("".join(f"{i}\n" for i in range(1, 101)))
+        (tmp_path / "b.txt").write_text("".join(f"{i}\n" for i in range(101, 141)))
+        got = text_form.read_labels(spark, str(tmp_path)).orderBy("line_no").collect()
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 2
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [(r.line_no, r.label) for r in got] == [(i, i) for i in range(1, 141)]
+
+
+def test_one_feature_short_lines_and_file_check(spark, tmp_path):
+    f = tmp_path / "one.txt"
+    f.write_text("3 2 1\n0 1 0.5\n1 2 1.5\n2 1 2.5\n")
+    assert [(r.position, r.truelabel, r.feat) for r in text_form.read(spark, str(f)).orderBy("position").collect()] == [(0, 1, [0.5]), (1, 2, [1.5]), (2, 1, [2.5])]
+    assert text_form.check_file(spark, str(f)) is None
+    for text, bad in (("3 2 1\n0 1 0.5\n1 2\n2 1 2.5\n", 3), ("3 2 1\n0 1 0.5\n1 2 1.5\n", 4), ("3 0 1\n0 1 0.5\n", 1), ("1 1 1\n0 1 0.5\nrubbish\n", None), ("", 1)):
+        f.write_text(text)
+        assert text_form.check_file(spark, str(f)) == bad, text
+    f.write_text("2 2 1\n4 1 0.5\n7 2 1.5\n")
+    text_form.to_binary(spark, str(f), str(tmp_path / "b.dat"))
+    text_form.from_binary(spark, str(tmp_path / "b.dat"), str(tmp_path / "back"))
+    assert [(r.position, r.feat) for r in text_form.read(spark, str(tmp_path / "back")).orderBy("position").collect()] == [(4, [0.5]), (7, [1.5])]
+
+
+def test_many_tasks_write_one_file(spark, tmp_path, monkeypatch):
+    from thicket.plans import runtime
+
+    whole = runtime.numbered
+    monkeypatch.setattr(binary, "numbered", lambda df, name, *order, **kw: whole(df, name, *order, **(kw | {"small": 10})))
+    rows = spark.createDataFrame([(i, 1 + i % 2, [float(i), -float(i)]) for i in range(200, 0, -1)], SAMPLE).repartition(4)
+    binary.register(spark)
+    path = str(tmp_path / "m.dat")
+    binary.write_samples(rows, path)
+    got = spark.read.format("forest_samples").option("partition_rows", 33).load(path)
+    assert [(r.position, r.truelabel, r.feat) for r in got.collect()] == [(i, 1 + i % 2, [float(i), -float(i)]) for i in range(1, 201)]

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thicket.functions.distances import DISTANCES
+from thicket.functions.distances import DISTANCES, Distance
 from thicket.operators import clustering, evaluate, hierarchy, maxtree, pairwise, parsing, prepare, spanning, supervised
-from thicket.plans.runtime import cut, table
+from thicket.plans.runtime import cut, scratch, table
 from thicket.sources import ascii as text_form
+from thicket.sources import binary
 from thicket.sources import samples as data
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -392,7 +394,7 @@ c AS (SELECT sum(CASE WHEN same THEN 0 ELSE w END) / sum(w) AS c FROM w GROUP BY
 
 _PRIM = f"""e AS MATERIALIZED (SELECT a.p AS i, b.p AS j, {_LOG} AS w FROM s a, s b WHERE a.p <> b.p),
 prim(node, pred, w, step) USING KEY (node) AS (
-  SELECT CAST(0 AS BIGINT), CAST(-1 AS BIGINT), CAST(0 AS DOUBLE), 0
+  SELECT min(p), CAST(-1 AS BIGINT), CAST(0 AS DOUBLE), 0 FROM s
   UNION (SELECT j, i, w, step + 1 FROM (
     SELECT e.j, e.i, e.w, (SELECT max(step) FROM recurring.prim) AS step FROM e JOIN recurring.prim p ON p.node = e.i
     WHERE e.j NOT IN (SELECT node FROM recurring.prim) ORDER BY e.w, least(e.i, e.j), greatest(e.i, e.j) LIMIT 1))),
@@ -402,6 +404,14 @@ _COST = """cost(node, c) USING KEY (node) AS (
   SELECT i, CAST(0 AS DOUBLE) FROM proto
   UNION (SELECT m.j, min(greatest(k.c, m.w)) FROM cost k JOIN mst m ON m.i = k.node LEFT JOIN recurring.cost r ON r.node = m.j
          WHERE r.c IS NULL OR greatest(k.c, m.w) < r.c GROUP BY m.j))"""
+#: The flood of costs, one node taken from the queue in every round.
+_FLOOD = """flood(node, c, root, pred, done) USING KEY (node) AS (
+  SELECT i, CAST(0 AS DOUBLE), i, CAST(-1 AS BIGINT), false FROM proto
+  UNION (SELECT q.node, q.c, q.root, q.pred, q.done FROM (SELECT * FROM recurring.flood WHERE NOT done ORDER BY c, root, pred, node LIMIT 1) t, LATERAL (
+    SELECT t.node, t.c, t.root, t.pred, true AS done
+    UNION ALL SELECT m.j, greatest(t.c, m.w), t.root, t.node, false FROM mst m LEFT JOIN recurring.flood r ON r.node = m.j
+      WHERE m.i = t.node AND (r.node IS NULL OR (NOT r.done AND (greatest(t.c, m.w), t.root, t.node) < (r.c, r.root, r.pred)))) q))"""
+_MODEL = "model AS MATERIALIZED (SELECT s.p, s.y, s.f, o.c, o.root, o.pred, r.y AS label FROM flood o JOIN s ON s.p = o.node JOIN s r ON r.p = o.root)"
 _S3 = _EMB3.replace("s AS (", "s AS MATERIALIZED (", 1)
 
 
@@ -429,8 +439,7 @@ def train_labels(spark: SparkSession, d: str) -> DataFrame:
 ORACLE["mst_edges"] = f"WITH RECURSIVE {_S3}, {_PRIM} SELECT least(node, pred) AS a, greatest(node, pred) AS b, round(w, 3) AS d FROM prim WHERE pred >= 0"
 ORACLE["prototypes"] = f"WITH RECURSIVE {_S3}, {_PRIM}, {_PROTO} SELECT i AS position FROM proto"
 ORACLE["train_pathval"] = f"WITH RECURSIVE {_S3}, {_PRIM}, {_PROTO}, {_COST} SELECT node AS position, round(c, 3) AS pathval FROM cost"
-#: Without equal distances, training labels equal the true labels.
-ORACLE["train_labels"] = f"WITH {_EMB3} SELECT p AS position, y AS label FROM s"
+ORACLE["train_labels"] = f"WITH RECURSIVE {_S3}, {_PRIM}, {_PROTO}, {_FLOOD}, {_MODEL} SELECT p AS position, label FROM model"
 
 
 #: The queries above whose SQL fixes the first three dimensions, once more on all 64 and the
@@ -503,7 +512,7 @@ SELECT s.p AS position, coalesce(o.y, 0) AS label FROM s LEFT JOIN o ON o.p = s.
 
 @query
 def train_classify_accuracy(spark: SparkSession, d: str) -> DataFrame:
-    return flagship(spark, d)
+    return flagship(spark, d).select(F.round("accuracy", 6).alias("accuracy"))
 
 
 def _chain(spark: SparkSession, d: str) -> DataFrame:
@@ -533,13 +542,14 @@ ORACLE["ancestor_closure"] = ORACLE["remove_irrelevant"] = f"WITH {_UP} SELECT m
 
 @query
 def best_k(spark: SparkSession, d: str) -> DataFrame:
-    return clustering.best_k(data.embeddings(spark, d), 5)[1]
+    return clustering.best_k(data.embeddings(spark, d), 5)[1].select("k", F.round("cut", 6).alias("cut"))
 
 
 @query
 def cluster(spark: SparkSession, d: str) -> DataFrame:
     arcs = cut(pairwise.knn_graph(data.embeddings(spark, d), 10))
-    return clustering.spread(arcs, cut(clustering.density(arcs)))
+    found = clustering.spread(arcs, cut(clustering.density(arcs)))
+    return found.withColumns({c: F.round(c, 6) for c in ("dens", "pathval")})
 
 
 @query
@@ -569,28 +579,39 @@ def _three(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame
     return tuple(parts.filter(F.col("part") == p).drop("part") for p in ("train", "eval", "test"))
 
 
+def _brief(model: DataFrame) -> DataFrame:
+    return model.select("position", "label", F.round("pathval", 3).alias("pathval"))
+
+
 @query
 def learn(spark: SparkSession, d: str) -> DataFrame:
     train, evaluation, _ = _three(spark, d)
-    return supervised.learn(train, evaluation, rounds=4)[0].select("position", "label", "pathval")
+    return _brief(supervised.learn(train, evaluation, rounds=4)[0])
 
 
 @query
 def agglomerative_learn(spark: SparkSession, d: str) -> DataFrame:
     train, evaluation, _ = _three(spark, d)
-    return supervised.agglomerative_learn(train, evaluation)[0].select("position", "label", "pathval")
+    return _brief(supervised.agglomerative_learn(train, evaluation)[0])
 
 
 @query
 def prune(spark: SparkSession, d: str) -> DataFrame:
     train, evaluation, _ = _three(spark, d)
-    return supervised.prune(train, evaluation, 0.7)[0].select("position", "label", "pathval")
+    return _brief(supervised.prune(train, evaluation, 0.4)[0])
+
+
+@query
+def pruning_rate(spark: SparkSession, d: str) -> DataFrame:
+    train, evaluation, _ = _three(spark, d)
+    rate = supervised.prune(train, evaluation, 0.4)[1]
+    return spark.createDataFrame([(round(100 * rate, 6),)], "rate double")
 
 
 @query
 def semi_train(spark: SparkSession, d: str) -> DataFrame:
     train, other, _ = _three(spark, d)
-    return supervised.semi(train, other).select("position", "truelabel", "label", "pathval")
+    return supervised.semi(train, other).select("position", "truelabel", "label", F.round("pathval", 3).alias("pathval"))
 
 
 def _conquering(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -608,4 +629,256 @@ def ancestor_closure_conquerors(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def remove_irrelevant_conquerors(spark: SparkSession, d: str) -> DataFrame:
-    return supervised.keep_relevant(*_conquering(spark, d)).select("position", "label", "pathval")
+    return supervised.keep_relevant(*_conquering(spark, d)).select("position", "label", F.round("pathval", 3).alias("pathval"))
+
+
+# Programs: the training set is s, the rows to be classified are t, the model is model.
+_ALL = _EMB.replace("s AS (", "s0 AS (", 1)
+_HALVES = f"{_ALL}, {_sql_split('s0', 'h', '0.5', 1)}, s AS MATERIALIZED (SELECT p, y, f FROM h WHERE one), t AS (SELECT p, y, f FROM h WHERE NOT one)"
+_THIRDS = f"""{_ALL}, {_sql_split('s0', 'h', '0.7', 1)}, h1 AS (SELECT p, y, f FROM h WHERE one), {_sql_split('h1', 'h2', '0.4::DOUBLE / 0.7::DOUBLE', 2)},
+s AS MATERIALIZED (SELECT p, y, f FROM h2 WHERE one), t AS (SELECT p, y, f FROM h2 WHERE NOT one)"""
+_TRAINED = f"{_PRIM}, {_PROTO}, {_FLOOD}, {_MODEL}"
+_TAKEN = f"""taken AS MATERIALIZED (SELECT a.p, a.y, b.label AS l, b.p AS conqueror FROM t a, model b
+  QUALIFY row_number() OVER (PARTITION BY a.p ORDER BY greatest(b.c, {_LOG}), b.c, b.p) = 1)"""
+ORACLE["train_classify_accuracy"] = f"""WITH RECURSIVE {_HALVES}, {_TRAINED}, {_TAKEN},
+n AS (SELECT y, count(*) AS n, sum(CASE WHEN l <> y THEN 1 ELSE 0 END) AS miss FROM taken GROUP BY y), w AS (SELECT l, count(*) AS x FROM taken WHERE l <> y GROUP BY l)
+SELECT round(1 - sum(coalesce(x, 0) / ((SELECT count(*) FROM taken) - n) + miss / n) / (2 * count(*)), 6) AS accuracy FROM n LEFT JOIN w ON w.l = n.y"""
+_CLOSED = f"{_THIRDS}, {_TRAINED}, {_TAKEN}, up AS (SELECT DISTINCT conqueror AS p FROM taken UNION SELECT m.pred FROM up JOIN model m USING (p) WHERE m.pred >= 0)"
+ORACLE["ancestor_closure_conquerors"] = f"WITH RECURSIVE {_CLOSED} SELECT p AS position FROM up"
+ORACLE["remove_irrelevant_conquerors"] = f"WITH RECURSIVE {_CLOSED} SELECT p AS position, label, round(c, 3) AS pathval FROM model SEMI JOIN up USING (p)"
+
+
+def _renamed(sql: str, **names: str) -> str:
+    for old, new in names.items():
+        sql = re.sub(rf"\b{old}\b", new, sql)
+    return sql
+
+
+# prototypes of the labeled rows s seed a flood over the tree of all rows u
+_OVER_ALL = _renamed(f"{_PRIM}, {_FLOOD}, {_MODEL}", s="u", e="e2", prim="prim2", mst="mst2")
+ORACLE["semi_train"] = f"""WITH RECURSIVE {_THIRDS}, {_PRIM}, {_PROTO}, u AS MATERIALIZED (SELECT p, y, f FROM s UNION ALL SELECT p, 0, f FROM t), {_OVER_ALL}
+SELECT p AS position, CASE WHEN y = 0 THEN label ELSE y END AS truelabel, label, round(c, 3) AS pathval FROM model"""
+
+# clusters for several k at once; every round takes one node of each k from its queue
+_GROWN = """wide AS MATERIALIZED (SELECT k, i, j, d FROM arcs UNION SELECT a.k, a.j, a.i, a.d FROM arcs a JOIN dens x ON x.k = a.k AND x.node = a.i JOIN dens y ON y.k = a.k AND y.node = a.j
+  WHERE x.dens = y.dens AND (a.k, a.j, a.i) NOT IN (SELECT (k, i, j) FROM arcs)),
+grown(k, node, v, dens, root, pred, turn) USING KEY (k, node) AS (
+  SELECT k, node, dens - 1, dens, CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT) FROM dens
+  UNION (SELECT q.k, q.node, q.v, q.dens, q.root, q.pred, q.turn FROM (
+      SELECT k, node, CASE WHEN pred IS NULL THEN dens ELSE v END AS v, dens, coalesce(root, node) AS root, pred,
+        (SELECT count(*) FROM recurring.grown o WHERE o.k = g.k AND o.turn IS NOT NULL) + 1 AS turn
+      FROM recurring.grown g WHERE turn IS NULL QUALIFY row_number() OVER (PARTITION BY k ORDER BY g.v DESC, node) = 1) t, LATERAL (
+    SELECT t.k, t.node, t.v, t.dens, t.root, t.pred, t.turn
+    UNION ALL SELECT r.k, r.node, least(t.v, r.dens), r.dens, t.root, t.node, NULL FROM wide f JOIN recurring.grown r ON r.k = f.k AND r.node = f.j
+      WHERE f.k = t.k AND f.i = t.node AND r.turn IS NULL AND least(t.v, r.dens) > r.v) q)),
+named AS (SELECT k, node AS root, row_number() OVER (PARTITION BY k ORDER BY turn) - 1 AS label FROM grown WHERE pred IS NULL)"""
+
+
+def _sql_clusters(arcs: str, width: str) -> str:
+    return f"""{_EMB}, pairs AS MATERIALIZED (SELECT a.p AS i, b.p AS j, {_LOG} AS d FROM s a, s b WHERE a.p <> b.p),
+near AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j) AS rank FROM pairs QUALIFY rank <= 10), arcs AS MATERIALIZED ({arcs}),
+width AS ({width}), raw AS (SELECT a.k, i AS node, sum(exp(-d / (2 * w.w / 9))) / (count(*) + 1) AS v FROM arcs a JOIN width w ON w.k = a.k GROUP BY a.k, i),
+ends AS (SELECT k, min(v) AS lo, max(v) AS hi FROM raw GROUP BY k), dens AS MATERIALIZED (SELECT r.k, node, 999 * (v - lo) / (hi - lo) + 1 AS dens FROM raw r JOIN ends e ON e.k = r.k),
+{_GROWN}"""
+
+
+_TEN = _sql_clusters("SELECT 10 AS k, i, j, d, rank FROM near", "SELECT k, max(d) AS w FROM arcs GROUP BY k")
+ORACLE["cluster"] = f"""WITH RECURSIVE {_TEN} SELECT g.root, node AS position, round(dens, 6) AS dens, round(v, 6) AS pathval, pred, turn AS rank, label FROM grown g JOIN named n ON n.k = g.k AND n.root = g.root"""
+ORACLE["cluster_root_labels"] = f"""WITH RECURSIVE {_TEN} SELECT node AS position, label, g.root, CASE WHEN y > 0 THEN y ELSE label + 1 END AS root_label
+FROM grown g JOIN named n ON n.k = g.k AND n.root = g.root JOIN s ON s.p = g.root"""
+_FIVE = _sql_clusters("SELECT k, i, j, d, rank FROM near, unnest(range(1, 6)) AS t(k) WHERE rank <= k", "SELECT k, max(d) AS w FROM arcs WHERE rank = k GROUP BY k")
+ORACLE["best_k"] = f"""WITH RECURSIVE {_FIVE}, lab AS (SELECT g.k, node, g.root AS label FROM grown g), w AS (SELECT f.k, a.label, a.label = b.label AS same, 1 / d AS w
+  FROM wide f JOIN lab a ON a.k = f.k AND a.node = f.i JOIN lab b ON b.k = f.k AND b.node = f.j WHERE d > 0),
+c AS (SELECT k, label, sum(CASE WHEN same THEN 0 ELSE w END) / sum(w) AS c FROM w GROUP BY k, label), o AS (SELECT k, sum(c) AS cut FROM c GROUP BY k)
+SELECT CAST(k AS INT) AS k, round(cut, 6) AS cut FROM o WHERE NOT EXISTS (SELECT 1 FROM o z WHERE z.cut = 0 AND z.k < o.k)"""
+
+
+def _stage(i: int) -> str:
+    """Training, classification and accuracy of the i-th round of a program, on s<i> and t<i>."""
+    part = f"""{_TRAINED}, {_TAKEN}, tally AS (SELECT y, count(*) AS n, sum(CASE WHEN l <> y THEN 1 ELSE 0 END) AS miss FROM taken GROUP BY y),
+false AS (SELECT l, count(*) AS x FROM taken WHERE l <> y GROUP BY l),
+score AS MATERIALIZED (SELECT 1 - sum(coalesce(x, 0) / ((SELECT count(*) FROM taken) - n) + miss / n) / (2 * count(*)) AS acc FROM tally LEFT JOIN false ON false.l = tally.y)"""
+    part = part.replace(", false)", ", CAST(0 AS BOOLEAN))").replace(", false FROM", ", CAST(0 AS BOOLEAN) FROM")
+    return _renamed(part, **{x: f"{x}{i}" for x in ("s", "t", "e", "prim", "mst", "proto", "flood", "model", "taken", "tally", "false", "score")})
+
+
+_BEGIN = _renamed(_THIRDS, s="sA", t="tA").replace("sA", "s1").replace("tA", "t1")
+
+
+def _chosen(rounds: int, which: str) -> str:
+    return " UNION ALL ".join(f"SELECT p AS position, label, round(c, 3) AS pathval FROM model{i} WHERE ({which}) = {i}" for i in range(1, rounds + 1))
+
+
+# each round once more under names of its own
+_SWAPS = [f"""err{i} AS MATERIALIZED (SELECT p, y, row_number() OVER (ORDER BY md5(p || ':{2 * i - 1}'), p) AS n FROM taken{i} WHERE l <> y),
+spare{i} AS MATERIALIZED (SELECT p, y, row_number() OVER (ORDER BY md5(p || ':{2 * i}'), p) AS n FROM s{i} WHERE p NOT IN (SELECT i FROM proto{i})),
+into{i} AS MATERIALIZED (SELECT p FROM err{i} WHERE n <= (SELECT count(*) FROM spare{i})), out{i} AS MATERIALIZED (SELECT p FROM spare{i} WHERE n <= (SELECT count(*) FROM err{i})),
+s{i + 1} AS MATERIALIZED (SELECT * FROM s{i} WHERE p NOT IN (FROM out{i}) UNION ALL SELECT * FROM t{i} WHERE p IN (FROM into{i})),
+t{i + 1} AS MATERIALIZED (SELECT * FROM t{i} WHERE p NOT IN (FROM into{i}) UNION ALL SELECT * FROM s{i} WHERE p IN (FROM out{i}))""" for i in range(1, 4)]
+_SCORES = " UNION ALL ".join(f"SELECT {i} AS r, acc FROM score{i}" for i in range(1, 5))
+ORACLE["learn"] = f"""WITH RECURSIVE {_BEGIN}, {", ".join(x for i in range(1, 5) for x in [_stage(i), *_SWAPS[i - 1 : i]])},
+scores AS ({_SCORES}), last AS (SELECT coalesce(min(r), 4) AS r FROM (SELECT r, abs(acc - lag(acc, 1, 0) OVER (ORDER BY r)) AS gap FROM scores) WHERE gap <= 1e-4),
+best AS (SELECT r FROM scores WHERE r <= (SELECT r FROM last) ORDER BY acc DESC, r LIMIT 1) {_chosen(4, "SELECT r FROM best")}"""
+_MOVES = [f"s{i + 1} AS MATERIALIZED (SELECT * FROM s{i} UNION ALL SELECT * FROM t{i} WHERE p IN (SELECT p FROM taken{i} WHERE l <> y)), t{i + 1} AS MATERIALIZED (SELECT * FROM t{i} WHERE p IN (SELECT p FROM taken{i} WHERE l = y))" for i in range(1, 6)]
+_ERRORS = " UNION ALL ".join(f"SELECT {i} AS r, count(*) AS n FROM taken{i} WHERE l <> y" for i in range(1, 6))
+ORACLE["agglomerative_learn"] = f"""WITH RECURSIVE {_BEGIN}, {", ".join(x for i in range(1, 6) for x in [_stage(i), *_MOVES[i - 1 : min(i, 4)]])},
+best AS (SELECT min(r) AS r FROM ({_ERRORS}) WHERE n = 0) {_chosen(5, "SELECT r FROM best")}"""
+# a round that removes nothing, or whose model misses the target, repeats the last model
+_KEEPS = [f"""up{i} AS (SELECT DISTINCT conqueror AS p FROM taken{i} WHERE l = y UNION SELECT m.pred FROM up{i} u JOIN model{i} m ON m.p = u.p WHERE m.pred >= 0),
+s{i + 1} AS MATERIALIZED (SELECT * FROM s{i} WHERE p IN (FROM up{i})), t{i + 1} AS MATERIALIZED (SELECT * FROM t{i})""" for i in range(1, 4)]
+_SIZES = " UNION ALL ".join(f"SELECT {i} AS r, acc, (SELECT count(*) FROM s{i}) AS n FROM score{i}" for i in range(1, 5))
+_PRUNED = f"""WITH RECURSIVE {_BEGIN}, {", ".join(x for i in range(1, 5) for x in [_stage(i), *_KEEPS[i - 1 : i]])},
+sizes AS ({_SIZES}), best AS (SELECT greatest(1, coalesce(min(r), 5) - 1) AS r FROM (SELECT r, acc, n, lag(n) OVER (ORDER BY r) AS before FROM sizes) WHERE acc < 0.4 OR n = before)"""
+ORACLE["prune"] = f"{_PRUNED} {_chosen(4, 'SELECT r FROM best')}"
+ORACLE["pruning_rate"] = f"{_PRUNED} SELECT round(100 * (1 - CAST(n AS DOUBLE) / (SELECT count(*) FROM s1)), 6) AS rate FROM sizes JOIN best USING (r)"
+
+
+@query
+def experiment(spark: SparkSession, d: str) -> DataFrame:
+    """Accuracy of two hold-out runs."""
+    rows = cut(data.embeddings(spark, d))
+
+    def once(seed: int) -> float:
+        train, test = prepare.split(rows, 0.3, seed)
+        return evaluate.accuracy_value(supervised.classify(supervised.fit(train), test))
+
+    return evaluate.experiment(spark, 2, once).select("run", F.round("value", 6).alias("value"))
+
+
+def _run(i: int, seed: int) -> str:
+    return f"{_sql_split('s0', f'h{i}', '0.3', seed)}, s{i} AS MATERIALIZED (SELECT p, y, f FROM h{i} WHERE one), t{i} AS (SELECT p, y, f FROM h{i} WHERE NOT one), {_stage(i)}"
+
+
+ORACLE["experiment"] = f"WITH RECURSIVE {_ALL}, {_run(1, 0)}, {_run(2, 1)} SELECT 0 AS run, round(acc, 6) AS value FROM score1 UNION ALL SELECT 1, round(acc, 6) FROM score2"
+
+
+@query
+def semi_retrained(spark: SparkSession, d: str) -> DataFrame:
+    train, other, _ = _three(spark, d)
+    return _brief(supervised.semi_retrained(train, other))
+
+
+_AGAIN = _renamed(_TRAINED, **{x: f"{x}9" for x in ("s", "e", "prim", "mst", "proto", "flood", "model")})
+ORACLE["semi_retrained"] = f"""WITH RECURSIVE {_THIRDS}, {_PRIM}, {_PROTO}, u AS MATERIALIZED (SELECT p, y, f FROM s UNION ALL SELECT p, 0, f FROM t), {_OVER_ALL},
+s9 AS MATERIALIZED (SELECT p, CASE WHEN y = 0 THEN label ELSE y END AS y, f FROM model), {_AGAIN} SELECT p AS position, label, round(c, 3) AS pathval FROM model9"""
+
+
+@query
+def swap_errors(spark: SparkSession, d: str) -> DataFrame:
+    a, b = prepare.split(data.embeddings(spark, d), 0.5)
+    a, b = prepare.swap_errors(a.withColumn("is_prototype", F.col("position") % 3 == 0), b.withColumn("label", (1 + F.col("position") % 4).cast("int")))
+    return a.select("position", F.lit("train").alias("side")).unionByName(b.select("position", F.lit("evaluation").alias("side")))
+
+
+ORACLE["swap_errors"] = f"""WITH {_HALVES}, err AS (SELECT p, row_number() OVER (ORDER BY md5(p || ':1'), p) AS n FROM t WHERE 1 + p % 4 <> y),
+spare AS (SELECT p, row_number() OVER (ORDER BY md5(p || ':2'), p) AS n FROM s WHERE p % 3 <> 0),
+moved AS (SELECT err.p AS a, spare.p AS b FROM err JOIN spare USING (n))
+SELECT p AS position, CASE WHEN p IN (SELECT b FROM moved) THEN 'evaluation' ELSE 'train' END AS side FROM s
+UNION ALL SELECT p, CASE WHEN p IN (SELECT a FROM moved) THEN 'train' ELSE 'evaluation' END FROM t"""
+
+
+@query
+def move_irrelevant(spark: SparkSession, d: str) -> DataFrame:
+    rows = data.lines(spark, d).withColumn("relevant", F.col("feat")[0] > 25)
+    kept, moved = prepare.move_irrelevant(rows, data.lines(spark, d).filter("truelabel = 1"))
+    return kept.select("position", F.lit("source").alias("side")).unionByName(moved.select("position", F.lit("target").alias("side")))
+
+
+ORACLE["move_irrelevant"] = f"WITH {_LINE} SELECT p AS position, 'source' AS side FROM s WHERE f[1] > 25 UNION ALL SELECT p, 'target' FROM s WHERE y = 1 UNION ALL SELECT p, 'target' FROM s WHERE f[1] <= 25"
+
+
+@query
+def filter_parameters(spark: SparkSession, d: str) -> DataFrame:
+    dens = cut(clustering.density(cut(_arcs(spark, d))))
+    return spark.createDataFrame([(k, round(float(clustering.filter_parameter(dens, k, v)), 6)) for k, v in (("height", 0.2), ("area", 0.1), ("volume", 0.05))], "kind string, value double")
+
+
+ORACLE["filter_parameters"] = f"""WITH {_DENS} SELECT 'height' AS kind, round(0.2 * max(dens), 6) AS value FROM dens UNION ALL SELECT 'area', floor(0.1 * count(*)) FROM dens
+UNION ALL SELECT 'volume', floor(0.05 * sum(dens) / count(*)) FROM dens"""
+
+
+#: A distance of the user's own: dimensions weigh less the later they come.
+FADING = Distance(
+    "fading",
+    lambda x, y: F.aggregate(F.zip_with(F.arrays_zip(x.alias("x"), F.sequence(F.lit(1), F.size(x)).alias("j")), y, lambda a, b: F.abs(a["x"] - b) / a["j"]), F.lit(0.0), lambda s, t: s + t),
+    lambda x, y: sum(abs(x[:, j, None] - y[None, :, j]) / (j + 1) for j in range(x.shape[1])),
+)
+
+
+@query
+def classify_custom(spark: SparkSession, d: str) -> DataFrame:
+    model = _given_model(spark, d).withColumn("rank", ((F.col("position") % 7) * 1_000_000 + F.col("position")).cast("int")).withColumn("pathval", F.col("pathval") / 1000)
+    return supervised.classify(model, data.embeddings(spark, d), FADING).select("position", "label", "conqueror", F.round("cost", 6).alias("cost"))
+
+
+_FADE = "list_sum(list_transform(list_zip(a.f, b.f, range(1, len(a.f) + 1)), lambda z: abs(z[1] - z[2]) / z[3]))"
+ORACLE["classify_custom"] = f"""WITH {_HALF}, o AS (SELECT a.p AS position, b.y AS label, b.p AS conqueror, b.c / 1000 AS c, greatest(b.c / 1000, CASE WHEN a.p = b.p THEN 0 ELSE {_FADE} END) AS cost FROM s a, m b)
+SELECT position, label, conqueror, round(cost, 6) AS cost FROM o QUALIFY row_number() OVER (PARTITION BY position ORDER BY cost, c, conqueror) = 1"""
+
+
+# Files: written by tasks into the shared folder and read back.
+@query
+def binary_samples(spark: SparkSession, d: str) -> DataFrame:
+    path = scratch(spark, "samples")
+    binary.register(spark)
+    binary.write_samples(data.embeddings(spark, d), path)
+    return spark.read.format("forest_samples").load(path)
+
+
+@query
+def binary_training(spark: SparkSession, d: str) -> DataFrame:
+    path = scratch(spark, "training")
+    binary.register(spark)
+    binary.write_training(data.embeddings(spark, d).withColumn("pathval", (F.col("position") % 8) / 4), path)
+    return spark.read.format("forest_training").load(path)
+
+
+@query
+def binary_model(spark: SparkSession, d: str) -> DataFrame:
+    path = scratch(spark, "model")
+    binary.register(spark)
+    binary.write_model(supervised.fit(data.embeddings(spark, d)), path)
+    return spark.read.format("forest_model").load(path).select("position", "truelabel", "pred", "label", "rank")
+
+
+@query
+def binary_distances(spark: SparkSession, d: str) -> DataFrame:
+    path, rows = scratch(spark, "distances"), data.embeddings(spark, d)
+    binary.register(spark)
+    binary.write_distances(pairwise.distance_matrix(rows), rows.count(), path)
+    return spark.read.format("forest_distances").load(path).select("i", "j", F.round(F.col("d").cast("double"), 3).alias("d"))
+
+
+@query
+def binary_header(spark: SparkSession, d: str) -> DataFrame:
+    path = scratch(spark, "samples")
+    binary.write_samples(data.embeddings(spark, d), path)
+    return spark.createDataFrame([tuple(binary.header(path).values())], "nnodes int, nlabels int, nfeats int")
+
+
+@query
+def ascii_to_binary(spark: SparkSession, d: str) -> DataFrame:
+    text, path = scratch(spark, "text"), scratch(spark, "samples")
+    text_form.write(data.embeddings(spark, d), text)
+    text_form.to_binary(spark, text, path)
+    binary.register(spark)
+    return spark.read.format("forest_samples").load(path)
+
+
+@query
+def ascii_check_file(spark: SparkSession, d: str) -> DataFrame:
+    """The first bad line of a whole file; the label of the seventh row is spoilt."""
+    text = scratch(spark, "text")
+    text_form.write(data.embeddings(spark, d).withColumn("truelabel", F.when(F.col("position") == 6, -1).otherwise(F.col("truelabel"))), text)
+    return spark.createDataFrame([(text_form.check_file(spark, text),)], "line_no long")
+
+
+_WHOLE_FLOATS = "SELECT CAST(vec_id AS BIGINT) AS position, CAST(label + 1 AS INT) AS truelabel, {}CAST({} AS FLOAT[]) AS feat FROM embeddings"
+ORACLE["binary_samples"] = _WHOLE_FLOATS.format("", "embedding")
+ORACLE["binary_training"] = _WHOLE_FLOATS.format("(vec_id % 8) / 4 AS pathval, ", "embedding")
+ORACLE["binary_model"] = f"""WITH RECURSIVE {_EMB.replace("s AS (", "s AS MATERIALIZED (", 1)}, {_TRAINED}
+SELECT p AS position, CAST(y AS INT) AS truelabel, CASE WHEN pred >= 0 THEN pred END AS pred, CAST(label AS INT) AS label, row_number() OVER (ORDER BY c, p) AS rank FROM model"""
+ORACLE["binary_distances"] = f"WITH {_EMB} SELECT a.p AS i, b.p AS j, round(CAST(CAST(sqrt({_SQ}) AS FLOAT) AS DOUBLE), 3) AS d FROM s a, s b"
+ORACLE["binary_header"] = "SELECT count(*) AS nnodes, max(label) + 1 AS nlabels, max(len(embedding)) AS nfeats FROM embeddings"
+ORACLE["ascii_to_binary"] = _WHOLE_FLOATS.format("", "CAST(list_transform(CAST(embedding AS DOUBLE[]), lambda v: format('{:.6f}', v)) AS DOUBLE[])")
+ORACLE["ascii_check_file"] = "SELECT count(*) + 2 AS line_no FROM embeddings WHERE vec_id < 6"

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -47,6 +48,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path for a new file in the checkpoint folder, which all executors share."""
+    cut(spark.range(1))
+    folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
 def numbered(df: DataFrame, name: str, *order: str | Column, start: int = 1, small: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with ``name`` = 1, 2, ... in a total order.
 
