@@ -1,18 +1,20 @@
 """Sentences of texts in many languages and scripts.
 
 Method: characters are tagged boundary or inside by a linear-chain model with Viterbi decoding.
-Only marks that can end a sentence, and blanks in scripts written without marks, can be
-boundaries; every other character is inside with certainty, so the chain is decoded over the
-candidates. What the model sees of a candidate is its context: the kind of mark, what
-stands before it (abbreviation, initial, ordinal, number), the gap and the kind of word after
-it, the quotation or bracket that closes there and how that was opened, and the script.
-Weights of these features, their pairs and their whole combination, and of tag transitions,
-come from an averaged structured perceptron.
-
-No table holds labelled sentences, so training labels come from labelling conventions
-(``label``), applied to a bounded sample of ``SAMPLE_DOCS`` documents of the corpus, up to
-``SAMPLE_CHARS`` characters each. Text in scripts without marks is stripped of marks
-before it is used for training. Prediction reads every document whole.
+Letters and digits are inside with certainty, so the chain is decoded over the marks that can end
+a sentence and the blanks of scripts written without marks (``spots``). The model sees raw
+context only (``view``): the characters of the mark, the words before and after it as they are written
+and by shape, the gap, the scripts on both sides, the quotation or bracket that closes there, what
+stood before it was opened, and the one around. Weights of these, of small combinations of them
+and of tag transitions come from an averaged structured perceptron.
+
+Training text is annotated in two ways (``chains``). Where one paragraph or item ends in a mark and the
+next begins, a sentence ends: the layout says so, and both are read as one running text with that
+label. The other marks are annotated by the labelling conventions (``convention`` and ``label``: word
+lists, ordinals, quotation rules), of which prediction knows nothing; what it knows of
+abbreviations or quotations it has learned from the words and characters around them. Annotated are
+about ``SAMPLE_DOCS`` documents of the corpus, up to ``SAMPLE_CHARS`` characters each. Text in scripts
+without marks is stripped of marks before it is used for training. Prediction reads every document whole.
 
 Blocks come first: blank lines separate blocks, fenced blocks hold no units, a heading line is
 a unit without its #s, a block that starts with a list marker is cut at every marker.
@@ -33,9 +35,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE_DOCS, SAMPLE_CHARS, EPOCHS = 1500, 6000, 4
+SAMPLE_DOCS, SAMPLE_CHARS, EPOCHS, KNOWN = 1500, 6000, 6, 300_000
 
-#: Abbreviations that end nothing, in no case followed by a new sentence.
+#: Fixed values of the conventions: abbreviations that end nothing, in no case followed by a new sentence.
 ABBREVIATIONS = frozenset(
     "Dr Prof Mr Mrs Ms St Jr Sr Sra Dra Mme Mlle vs cf e.g i.e a.m p.m approx Fig fig Sec sec Eq No Vol pp ex env ej núm pág "
     "p z d h ca Nr Abb Str bzw ggf évtl vgl т е д г см рис стр им ул δηλ π.χ αρ σελ क्र डॉ श्री ص د م".split()
@@ -58,6 +60,7 @@ _HEADING = re.compile(r"[ \t﻿]*#{1,6}(?=[ \t])")
 _MARKER = re.compile(r"[ \t﻿]*(?:[-*+]|\d{1,9}\.)[ \t]+")
 _NAME = re.compile(r"[a-z][^\W_]*_\w*")
 _WORD = re.compile(r"[^\W\d_]+")
+_KANA = re.compile(r"[\u3040-\u30ff]")
 _TRIM = " \t\r\n\x0b\x0c   　﻿​"
 
 
@@ -161,33 +164,35 @@ def _after(s: str, at: int) -> str:
     return "soft" if c in ",;:)]}-–—、，：；·" else "sign"
 
 
-def candidates(s: str) -> list[tuple[int, tuple[str, ...]]]:
-    """Where a sentence of this flat segment could end, and what is seen there."""
+Spot = tuple[int, int, int, int, int]
+
+
+def spots(s: str) -> list[Spot]:
+    """Where a sentence of this flat segment could end, from raw characters alone.
+
+    A spot is (start and end of the mark, end of the unit, place where the quotation or bracket that
+    closes there was opened or -1, place where the one around it was opened or -1).
+    """
     marks = list(_MARK.finditer(s))
     if not marks:
         return []
     pairs = _pairs(s) if _QUOTES.search(s) else []
     closes = {b: a for a, b in pairs}
-    script = "ja" if re.search(r"[぀-ヿ]", s) else "any"
-    out = []
+    out: list[Spot] = []
     last = -1
     for m in marks:
-        i, j, t = m.start(), m.end(), m.group()
+        i, j = m.start(), m.end()
         if i < last:
             continue
-        if t[0] in " \t ":
-            a, b = s[i - 1], s[j]
-            if a in ".!?…" or any(p < i < q for p, q in pairs):
-                continue
-            touch = [x for x in (a, b) if x.isdigit() or (x.isalpha() and _kind(x) == "latin")]
-            thai = _kind(a) == "thai" and _kind(b) == "thai"
-            out.append((i, ("gap", "touch" if touch else "thai" if thai else "sign", "space", "-", "-", "-", script)))
+        if s[i] in " \t\u00a0":
+            if s[i - 1] not in ".!?…":
+                out.append((i, j, i, -1, max((p for p, q in pairs if p < i < q), default=-1)))
             continue
         # closing quotes and brackets belong to the unit; French sets them off by a blank
         opened, end = -1, j
         while True:
             k = end
-            if k < len(s) and s[k] in "   " and k + 1 < len(s) and s[k + 1] == "»" and k + 1 in closes:
+            if k < len(s) and s[k] in " \u00a0\u202f" and k + 1 < len(s) and s[k + 1] == "»" and k + 1 in closes:
                 k += 1
             if k in closes and k < len(s):
                 opened = closes[k]
@@ -196,57 +201,118 @@ def candidates(s: str) -> list[tuple[int, tuple[str, ...]]]:
                 end += 1
             else:
                 break
-        # marks right behind a closing quote belong to it: "…?".
-        inside = any(a < i and b >= end for a, b in pairs)
-        gap = "end" if not s[end:].strip() else "space" if s[end] in " \t 　" else "none"
-        c = t[-1]
-        if len(t) > 1 and set(t) <= {".", "…"} or c == "…":
-            mark = "dots"
-        elif t == ".":
-            mark = "dot"
-        elif c in "。｡":
-            mark = "full"
-        elif c in "।॥":
-            mark = "danda"
-        elif c in ";;":
-            mark = "semi"
-        else:
-            mark = "bang"
-        p = i - 1
-        while p >= 0 and s[p] in " \t" and mark in ("danda", "bang"):
-            p -= 1
-        before = "plain"
-        prev = s[p] if p >= 0 else ""
-        if mark == "semi":
-            before = "greek" if prev and _kind(prev) == "greek" else "plain"
-        elif mark == "dot" and gap != "none":
-            k = s.rfind(" ", 0, i) + 1
-            word = s[k:i].lstrip("([{«“„\"'¿¡*_`‘")
-            if word in LIST_ENDS:
-                before = "list"
-            elif word in ABBREVIATIONS:
-                before = "abbr"
-            elif len(word) == 1 and word.isupper():
-                before = "initial"
-            elif word.isdigit():
-                nxt = _WORD.search(s, end)
-                ahead = s[s.rfind(" ", 0, max(k - 1, 0)) + 1 : max(k - 1, 0)]
-                before = "ordinal" if nxt and nxt.group() in MONTHS or ahead in ORDINAL_BEFORE and len(word) < 3 else "number"
-        if prev and _kind(prev) == "cjk" or t[0] in "。！？｡":
-            before = before if before != "plain" else "cjk"
-        how = "-"
-        shut = "no"
-        if opened >= 0:
-            shut = "bracket" if s[opened] in _BRACKETS else "quote"
-            k = opened - 1
-            while k >= 0 and s[k] in " \t":
-                k -= 1
-            how = "start" if k < 0 or s[k] in ".!?…。！？｡؟।॥" or s[k] in _CLOSE else "colon" if s[k] in ":：" else "mid"
         last = end
-        out.append((end, (mark, before, "inside" if inside else gap, _after(s, end), shut, how, script)))
+        out.append((i, j, end, opened, max((p for p, q in pairs if p < i and q >= end), default=-1)))
     return out
 
 
+def _class(c: str) -> str:
+    """A character as the model sees it: its script, or itself if it is no letter or digit."""
+    return "digit" if c.isdigit() else _kind(c) if c.isalpha() or ord(c) > 0x900 and c.isprintable() and not c.isspace() and c not in _STARTERS and c not in _CLOSE else c
+
+
+def _shape(word: str) -> str:
+    """Case and digits of a word, runs shortened."""
+    if not word:
+        return ""
+    if word.isdigit():
+        return f"d{min(len(word), 3)}"
+    flat = re.sub(r"(.)\1+", r"\1\1", "".join("X" if c.isupper() else "x" if c.islower() else "d" if c.isdigit() else "c" if c.isalpha() else c for c in word))
+    return flat if len(word) < 4 else flat[:6] + "+"
+
+
+def view(s: str, spot: Spot, ja: bool) -> tuple[str, ...]:
+    """What stands around a spot: the characters of the mark, the words beside it, quotes and scripts."""
+    i, j, end, opened, around = spot
+    n, t = len(s), s[i:j]
+    mark = "gap" if t[0] in " \t\u00a0" else t if len(t) == 1 else ".." if set(t) <= {".", "…"} else t[-2:]
+    p = i
+    while p > 0 and s[p - 1] in " \t":
+        p -= 1
+    set_off = "_" if p < i else ""
+    k = s.rfind(" ", max(0, p - 24), p) + 1 if mark != "gap" else max(0, p - 1)
+    word = s[max(k, p - 24) : p].lstrip("([{«“„\"'¿¡*_`‘")
+    k2 = s.rfind(" ", max(0, k - 24), max(0, k - 1)) + 1
+    ahead = s[k2 : max(0, k - 1)][-10:].lower() if k > 1 else ""
+    prev = _class(s[p - 1]) if p else ""
+    if prev in ("cjk", "thai"):
+        word = ""
+    q = end
+    while q < n and (s[q] in _STARTERS or s[q] in " \t\u00a0\u3000"):
+        q += 1
+    found = _WORD.match(s, q)
+    after = "" if q >= n else _class(s[q])
+    nxt = "" if not found else found.group()[:1] if after in ("cjk", "thai") else found.group()[:12]
+    shape = "end" if q >= n else "name" if s[q].islower() and _NAME.match(s, q) else _shape(nxt[:2]) if nxt else after
+    gap = "end" if q >= n else "space" if s[end] in " \t\u00a0\u3000" else "none"
+    before = ""
+    if opened >= 0:
+        k = opened - 1
+        while k >= 0 and s[k] in " \t":
+            k -= 1
+        before = "^" if k < 0 else "w" if s[k].isalnum() or s[k] not in ".!?…。！？｡؟।॥:：,，、;；" and s[k] not in _CLOSE else s[k]
+    return (mark, set_off, word[-12:].lower(), _shape(word), ahead, gap, nxt.lower(), shape, s[opened] if opened >= 0 else "", before, s[around] if around >= 0 else "", prev, after, "ja" if ja else "")
+
+
+def convention(s: str, spot: Spot, ja: bool) -> tuple[str, ...]:
+    """How the labelling conventions read a spot: used to annotate training text, never to predict."""
+    i, j, end, opened, around = spot
+    t, script = s[i:j], "ja" if ja else "any"
+    if t[0] in " \t\u00a0":
+        a, b = s[i - 1], s[j]
+        touch = [x for x in (a, b) if x.isdigit() or (x.isalpha() and _kind(x) == "latin")]
+        return ("gap", "touch" if touch or around >= 0 else "blank", "space", "-", "-", "-", script)
+    gap = "end" if not s[end:].strip() else "space" if s[end] in " \t\u00a0\u3000" else "none"
+    c = t[-1]
+    if len(t) > 1 and set(t) <= {".", "…"} or c == "…":
+        mark = "dots"
+    elif t == ".":
+        mark = "dot"
+    elif c in "。｡":
+        mark = "full"
+    elif c in "।॥":
+        mark = "danda"
+    elif c in ";\u037e":
+        mark = "semi"
+    else:
+        mark = "bang"
+    p = i - 1
+    while p >= 0 and s[p] in " \t" and mark in ("danda", "bang"):
+        p -= 1
+    before = "plain"
+    prev = s[p] if p >= 0 else ""
+    if mark == "semi":
+        before = "greek" if prev and _kind(prev) == "greek" else "plain"
+    elif mark == "dot" and gap != "none":
+        k = s.rfind(" ", 0, i) + 1
+        word = s[k:i].lstrip("([{«“„\"'¿¡*_`‘")
+        if word in LIST_ENDS:
+            before = "list"
+        elif word in ABBREVIATIONS:
+            before = "abbr"
+        elif len(word) == 1 and word.isupper():
+            before = "initial"
+        elif word.isdigit():
+            nxt = _WORD.search(s, end)
+            ahead = s[s.rfind(" ", 0, max(k - 1, 0)) + 1 : max(k - 1, 0)]
+            before = "ordinal" if nxt and nxt.group() in MONTHS or ahead in ORDINAL_BEFORE and len(word) < 3 else "number"
+    if prev and _kind(prev) == "cjk" or t[0] in "。！？｡":
+        before = before if before != "plain" else "cjk"
+    how = "-"
+    shut = "no"
+    if opened >= 0:
+        shut = "bracket" if s[opened] in _BRACKETS else "quote"
+        k = opened - 1
+        while k >= 0 and s[k] in " \t":
+            k -= 1
+        how = "start" if k < 0 or s[k] in ".!?…。！？｡؟।॥" or s[k] in _CLOSE else "colon" if s[k] in ":：" else "mid"
+    return (mark, before, "inside" if around >= 0 else gap, _after(s, end), shut, how, script)
+
+
+def _is_ja(s: str) -> bool:
+    return _KANA.search(s) is not None
+
+
 def label(seen: tuple[str, ...]) -> bool:
     """The conventions that training labels follow: does a sentence end here?"""
     mark, before, gap, after, shut, how, script = seen
@@ -277,9 +343,15 @@ def label(seen: tuple[str, ...]) -> bool:
 Weights = dict[tuple, float]
 
 
-def _features(seen: tuple[str, ...]) -> list[tuple]:
-    one = list(enumerate(seen))
-    return [*one, *((a, b) for i, a in enumerate(one) for b in one[i + 1 :]), seen]
+def _features(v: tuple[str, ...]) -> list[tuple]:
+    """Single observations and small combinations of them; none spans the whole view."""
+    mark, off, word, shape, ahead, gap, nxt, nshape, opener, before, around, prev, after, ja = v
+    return [
+        ("m", mark, off), ("w", word), ("x", nxt), ("s", shape), ("n", nshape), ("g", gap), ("o", opener), ("b", before), ("a", around), ("p", prev), ("f", after),
+        ("mn", mark, nshape), ("mgp", mark, gap, prev), ("mgf", mark, gap, after), ("smn", shape, mark, nshape), ("wm", word, mark), ("wn", word, nshape), ("hs", ahead, shape),
+        ("sx", shape, nxt), ("ob", opener, before, after), ("obn", opener, before, nshape), ("obj", opener, before, ja, after), ("objx", opener, ja, nxt if ja else ""), ("am", around, mark), ("on", opener, nshape),
+        ("gn", gap, nshape), ("mpf", mark, prev, after), ("hsn", ahead, shape, nshape), ("ga", gap, around), ("ox", opener, before, nxt), ("mgn", mark, gap, nshape),
+    ]
 
 
 def viterbi(scores: list[float], w: Weights) -> list[bool]:
@@ -303,17 +375,20 @@ def viterbi(scores: list[float], w: Weights) -> list[bool]:
 
 
 class Tagger:
-    """Weights of the chain; scores of combinations are kept, for they repeat."""
+    """Weights of the chain; scores of views are kept, for they repeat."""
 
     def __init__(self, weights: Weights) -> None:
         self.weights, self.known = weights, {}
 
-    def tags(self, seen: list[tuple[str, ...]]) -> list[bool]:
-        scores = []
-        for x in seen:
+    def tags(self, s: str, at: list[Spot]) -> list[bool]:
+        if len(self.known) > KNOWN:
+            self.known.clear()
+        ja, get, scores = _is_ja(s), self.weights.get, []
+        for spot in at:
+            x = view(s, spot, ja)
             v = self.known.get(x)
             if v is None:
-                v = self.known[x] = sum(self.weights.get(f, 0.0) for f in _features(x))
+                v = self.known[x] = sum(get(f, 0.0) for f in _features(x))
             scores.append(v)
         return viterbi(scores, self.weights)
 
@@ -334,9 +409,9 @@ class Tagger:
         for a, b, heading in segments(text):
             if not heading:
                 s = text[a:b].translate(_FLAT)
-                got = candidates(s)
+                got = spots(s)
                 start = a
-                for (end, _), cut in zip(got, self.tags([x for _, x in got])):
+                for (_, _, end, _, _), cut in zip(got, self.tags(s, got)):
                     if cut:
                         put(start, a + end)
                         start = a + end
@@ -352,23 +427,39 @@ def _stripped(s: str) -> str:
     return re.sub(r"[.!?…。！？｡؟۔।॥;]+(?=\s|$)", "", s) if 2 * thai > len(s) else s
 
 
+def chains(text: str | None) -> list[tuple[str, list[Spot], list[bool], list[bool]]]:
+    """Annotated text: flat text, spots, labels, and whether a label is known from the layout alone.
+
+    Paragraphs and items that end in a mark and follow one another are also read as one text:
+    where the first ended, a sentence ends, whatever the conventions say.
+    """
+    parts = [_stripped(text[a:b].translate(_FLAT)).strip() for a, b, heading in segments(text or "") if not heading]
+    out = []
+    for one, two in [*((p, "") for p in parts), *((p, q) for p, q in zip(parts, parts[1:]) if p and q)]:
+        s = f"{one} {two}" if two else one
+        got, ja = spots(s), _is_ja(s)
+        # a quotation left open would reach over the joint
+        if not got or two and not any(x[2] == len(one) and x[4] < 0 for x in got):
+            continue
+        known = [bool(two) and x[2] == len(one) for x in got]
+        out.append((s, got, [k or label(convention(s, x, ja)) for k, x in zip(known, got)], known))
+    return out
+
+
 def train(texts: list[str | None], epochs: int = EPOCHS) -> Tagger:
-    """An averaged structured perceptron over chains labelled by the conventions."""
-    chains = []
+    """An averaged structured perceptron over the chains of annotated texts."""
+    data = []
     for text in texts:
-        for a, b, heading in segments(text or ""):
-            if not heading and (got := candidates(_stripped(text[a:b].translate(_FLAT)))):
-                chains.append([x for _, x in got])
+        for s, got, gold, _ in chains(text):
+            ja = _is_ja(s)
+            data.append(([_features(view(s, x, ja)) for x in got], gold))
     w: Weights = defaultdict(float)
     total: Weights = defaultdict(float)
     turn = 1
     for _ in range(epochs):
         wrong = 0
-        known: dict[tuple, list[tuple]] = {}
-        for chain in chains:
-            feats = [known.setdefault(x, None) or known.__setitem__(x, _features(x)) or known[x] for x in chain]
-            gold = [label(x) for x in chain]
-            got = viterbi([sum(w[f] for f in fs) for fs in feats], w)
+        for feats, gold in data:
+            got = viterbi([sum(w.get(f, 0.0) for f in fs) for fs in feats], w)
             turn += 1
             if got != gold:
                 wrong += 1
@@ -385,7 +476,7 @@ def train(texts: list[str | None], epochs: int = EPOCHS) -> Tagger:
                             total["t", p, q] += turn * step
         if not wrong:
             break
-    return Tagger({f: v - total[f] / turn for f, v in w.items()})
+    return Tagger({f: v - total[f] / turn for f, v in w.items() if v or total[f]})
 
 
 def fit(documents: DataFrame, docs: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> Tagger:
