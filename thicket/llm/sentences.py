@@ -30,6 +30,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from unicodedata import category
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -238,7 +239,8 @@ def view(s: str, spot: Spot, ja: bool) -> tuple[str, ...]:
     if prev in ("cjk", "thai"):
         word = ""
     q = end
-    while q < n and (s[q] in _STARTERS or s[q] in " \t\u00a0\u3000"):
+    # openers, blanks and pictographs are passed over
+    while q < n and (s[q] in _STARTERS or s[q] in " \t\u00a0\u3000" or s[q] > "\u2100" and category(s[q]) == "So"):
         q += 1
     found = _WORD.match(s, q)
     after = "" if q >= n else _class(s[q])
