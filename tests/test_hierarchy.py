@@ -115,3 +115,13 @@ def test_long_chain_contracts_in_few_rounds(monkeypatch, loop):
     else:
         assert (state == 0).all() and (root == 0).all() and (depth == np.arange(n)).all()
         assert np.isnan(top[0]) and (top[1:] == n - 1).all()
+
+
+def test_paths_do_not_depend_on_where_they_are_listed(spark):
+    rng = np.random.default_rng(3)
+    rows = [(m, i, int(rng.integers(-1, i + 2)) if i else -1, None, None) for m in range(4) for i in range(60)] + [(9, i, i - 1, None, None) for i in range(150)] + [(8, 1, 2, None, None), (8, 2, 1, None, None), (8, 3, 1, None, None)]
+    df = spark.createDataFrame(rows, COLS)
+    ways = [hierarchy.paths(df), hierarchy.paths(df, entries=100), hierarchy.paths(df, local_rows=100)]
+    one, *others = [sorted(((r.model_id, r.position, r.root, r.depth, r.path) for r in w.collect()), key=repr) for w in ways]
+    assert len(one) == len(rows) and all(one == o for o in others)
+    assert [p for m, i, _, _, p in one if (m, i) == (9, 149)] == [list(range(150))]

@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from thicket.plans.runtime import cut, parallelism
 
-#: Nodes that one task may contract in memory.
-LOCAL_ROWS = 200_000
+#: Nodes that one task may contract in memory, and path entries that it may list.
+LOCAL_ROWS, LOCAL_ENTRIES = 200_000, 5_000_000
 TREE, CYCLE, ASTRAY = "tree", "cycle", "astray"
 _OUT = "g long, v long, root long, depth long, high double, kind string"
 
@@ -96,17 +96,40 @@ def contract(up: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return root, depth, top, state
 
 
-def _local(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One whole group: ``g, v, p, cost`` with repeats allowed."""
+def _parents(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
+    """One whole group, ``g, v, p, cost`` with repeats allowed: each node once, and its parent's place or -1."""
     pdf = pdf.sort_values(["v", "p", "cost"]).drop_duplicates("v")
     v = pdf.v.to_numpy(np.int64)
     p, known = pdf.p.fillna(0).to_numpy(np.int64), pdf.p.notna().to_numpy()
     at = np.minimum(np.searchsorted(v, p), max(len(v) - 1, 0))
-    up = np.where(known & (v[at] == p), at, -1) if len(v) else p
+    return pdf, v, np.where(known & (v[at] == p), at, -1) if len(v) else p
+
+
+def _local(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf, v, up = _parents(pdf)
     root, depth, top, state = contract(up, pdf.cost.to_numpy(float))
     return _frame(pdf.g.to_numpy(), v, root, depth, top, state)
 
 
+_PATHS = "g long, v long, root long, depth long, up long, path array<long>"
+
+
+def _local_paths(entries: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        """A whole group with its paths; without them if they would be more than ``entries`` long together."""
+        pdf, v, up = _parents(pdf)
+        root, depth, _, state = contract(up, np.full(len(v), np.nan))
+        tree, path = state == 0, np.full(len(v), None, object)
+        if depth[tree].sum() + tree.sum() <= entries:
+            for i in np.argsort(depth, kind="stable").tolist():
+                if tree[i]:
+                    path[i] = [*path[up[i]], int(v[i])] if up[i] >= 0 else [int(v[i])]
+        out = _frame(pdf.g.to_numpy(), v, root, depth, np.full(len(v), np.nan), state)
+        return out.assign(up=pd.arrays.IntegerArray(v[up], (up < 0) | ~tree), path=path)[["g", "v", "root", "depth", "up", "path"]]
+
+    return run
+
+
 def _frame(g: np.ndarray, v: np.ndarray, root: np.ndarray, depth: np.ndarray, top: np.ndarray, state: np.ndarray) -> pd.DataFrame:
     lost = state > 0
     return pd.DataFrame(
@@ -287,24 +310,48 @@ def contradictions(nodes: DataFrame, local_rows: int = LOCAL_ROWS) -> DataFrame:
     return both.select("model_id", "position", F.explode(kinds).alias("kind"))
 
 
-def paths(nodes: DataFrame, group: str = "model_id", node: str = "position", parent: str = "pred", none: int = -1, local_rows: int = LOCAL_ROWS) -> DataFrame:
+def paths(nodes: DataFrame, group: str = "model_id", node: str = "position", parent: str = "pred", none: int = -1, local_rows: int = LOCAL_ROWS, entries: int = LOCAL_ENTRIES) -> DataFrame:
     """``group, node, root, depth, path``: the nodes from the root down to the node.
 
-    Nodes in or behind a loop have a null path. The path of a node at depth d is assembled
-    by doubling: after round i every node knows its nearest 2^i ancestors, so log2(depth)
-    joins on (group, node) suffice and no group is gathered in a task.
+    Nodes in or behind a loop have a null path. A group of at most ``local_rows`` nodes whose paths have
+    at most ``entries`` entries lists them in the task that contracts it. Longer paths are
+    assembled by doubling: after round i every node knows its nearest 2^i ancestors, so
+    log2(depth) joins on (group, node) suffice and no group is gathered in a task.
     """
-    solved = cut(resolve(nodes.withColumn("_none", F.lit(None).cast("double")), group, node, parent, "_none", none, local_rows))
-    slim = nodes.select(F.col(group).alias("g"), F.col(node).alias("v"), F.when(F.col(parent) != none, F.col(parent)).alias("p")).groupBy("g", "v").agg(F.min(F.coalesce("p", F.lit(2**62))).alias("p"))
-    tree = solved.filter(F.col("kind") == TREE).select(F.col(group).alias("g"), F.col(node).alias("v"), "root", "depth")
-    known = slim.join(tree, ["g", "v"])
-    state = cut(known.select("g", "v", "root", "depth", F.when(F.col("depth") > 0, F.col("p")).alias("up"), F.array("v").alias("path")))
+    slim = nodes.select(
+        F.col(group).cast("long").alias("g"),
+        F.col(node).cast("long").alias("v"),
+        F.when(F.col(parent) != none, F.col(parent)).cast("long").alias("p"),
+        F.lit(None).cast("double").alias("cost"),
+    ).filter("g is not null and v is not null")
+    large = slim.groupBy("g").count().filter(F.col("count") > local_rows).select("g")
+    if large.isEmpty():
+        known, rest = cut(slim.groupBy("g").applyInPandas(_local_paths(entries), _PATHS)), None
+    else:
+        large = cut(large)
+        known = cut(slim.join(large, "g", "left_anti").groupBy("g").applyInPandas(_local_paths(entries), _PATHS))
+        most = slim.join(large, "g", "left_semi")
+        solved = cut(resolve(most, "g", "v", "p", "cost", none, local_rows))
+        parents = most.groupBy("g", "v").agg(F.min(F.coalesce("p", F.lit(2**62))).alias("up"))
+        rest = solved.join(parents, ["g", "v"]).select("g", "v", "root", "depth", F.when(F.col("depth") > 0, F.col("up")).alias("up"), F.lit(None).cast("array<long>").alias("path"))
+    open_ = known.filter("depth is not null and path is null")
+    if rest is not None:
+        open_ = open_.unionByName(rest.filter("depth is not null"))
+        known = known.unionByName(rest.filter("depth is null"))
+    done = known.filter("depth is null or path is not null")
+    if not open_.isEmpty():
+        done = done.unionByName(_doubled(open_))
+    return done.select(F.col("g").alias(group), F.col("v").alias(node), "root", "depth", "path")
+
+
+def _doubled(nodes: DataFrame) -> DataFrame:
+    """Paths of tree nodes ``g, v, root, depth, up`` by doubling."""
+    state = cut(nodes.withColumn("path", F.array("v")))
     while not state.filter("up is not null").isEmpty():
         above = state.select(F.col("g").alias("ag"), F.col("v").alias("av"), F.col("up").alias("aup"), F.col("path").alias("apath"))
         moved = state.join(above, (F.col("g") == F.col("ag")) & (F.col("up") == F.col("av")), "left")
         state = cut(moved.select("g", "v", "root", "depth", F.col("aup").alias("up"), F.when(F.col("apath").isNull(), F.col("path")).otherwise(F.concat("apath", "path")).alias("path")))
-    rest = solved.filter(F.col("kind") != TREE).select(F.col(group).alias("g"), F.col(node).alias("v"), "root", "depth", F.lit(None).cast("array<long>").alias("path"))
-    return state.select("g", "v", "root", "depth", "path").unionByName(rest).withColumnsRenamed({"g": group, "v": node})
+    return state
 
 
 def descendants(with_paths: DataFrame, group: str = "model_id", node: str = "position") -> DataFrame:
