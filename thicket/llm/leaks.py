@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from thicket.plans.runtime import cut
+
 #: Consecutive words that make a leak.
 RUN = 12
 #: Passage characters held by one search pass.
@@ -121,13 +123,13 @@ class Searcher:
         return text, at[row] - base[text] - (run - 1), self.owner[pat], self.place[pat]
 
 
-def _blocks(items: DataFrame, chars: int) -> list[list[tuple[int, str]]]:
-    """Passages in blocks of at most about ``chars`` characters, each fetched when searched."""
-    total = items.agg(F.sum(F.length("passage"))).first()[0] or 0
-    n = max(1, -(-total // chars))
+def _blocks(items: DataFrame, chars: int) -> Iterator[list[tuple[int, str]]]:
+    """Passages in blocks of about ``chars`` characters; the driver holds one block at a time."""
     slim = items.select("item_id", "passage").filter("item_id is not null and passage is not null").distinct()
-    parts = [slim.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i) for i in range(n)] if n > 1 else [slim]
-    return [[(r.item_id, r.passage) for r in p.collect()] for p in parts]  # each part is bounded by chars
+    n = max(1, -(-(items.agg(F.sum(F.length("passage"))).first()[0] or 0) // chars))
+    for i in range(n):
+        part = slim.filter(F.pmod(F.xxhash64("item_id", "passage"), F.lit(n)) == i) if n > 1 else slim
+        yield [(r.item_id, r.passage) for r in part.collect()]  # bounded by chars
 
 
 def leaks(documents: DataFrame, items: DataFrame, run: int = RUN, chars: int = ITEM_CHARS) -> DataFrame:
@@ -139,8 +141,12 @@ def leaks(documents: DataFrame, items: DataFrame, run: int = RUN, chars: int = I
     """
     spark = documents.sparkSession
     slim = documents.select("doc_id", "text").filter("text is not null")
-    found = None
+    found = shared = None
     for block in _blocks(items, chars):
+        if found is not None:
+            # one block of patterns at a time lies on the executors
+            found = cut(found)
+            shared.unpersist()
         shared = spark.sparkContext.broadcast(Searcher(block, run))
 
         def scan(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
