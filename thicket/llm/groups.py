@@ -10,8 +10,9 @@ compact, whatever its number of rows. Groups are reported with size, dispersion,
 members nearest to the mean.
 
 For linked clusters the tree only decides which rows meet, not what is found, so its splits are
-fitted on a bounded sample (``fit``: ``SAMPLE_ROWS`` rows of each width, and of each leaf that
-is refined).
+fitted on a bounded sample (``fit``: ``SAMPLE_ROWS`` rows of each width, and at least 200 of each
+leaf that is refined, which is done in tasks; only tree nodes, one in ``LEAF_ROWS`` / 2 rows, reach the
+driver).
 
 Linked clusters (maximal sets linked by distance <= ``reach``) come from the leaves: within a
 leaf, rows within reach/2 of a chosen row form a knot, all of whose members are linked to one
@@ -137,6 +138,33 @@ def grow(tree: Tree, start: int, x: np.ndarray, rows_each: float, leaf_rows: int
         push(tree.right[node], part[side])
 
 
+_GROWN = "d int, leaf int, left array<int>, right array<int>, centres array<double>"
+
+
+def _grow_each(size: dict[tuple[int, int], int], leaf_rows: int, compact: float, seed: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The subtree below one leaf, grown from the rows drawn from it."""
+        pdf = pdf.sort_values("node_id")
+        d, leaf = int(pdf.d.iloc[0]), int(pdf.leaf.iloc[0])
+        x = vectors.stack(pdf.feat)
+        tree = Tree()
+        tree.add(np.zeros(d))
+        grow(tree, 0, x, size[d, leaf] / len(x), leaf_rows, compact, seed + leaf)
+        return pd.DataFrame({"d": [d], "leaf": [leaf], "left": [tree.left], "right": [tree.right], "centres": [np.concatenate(tree.centre)]})
+
+    return run
+
+
+def _graft(trees: dict[int, Tree], grown: DataFrame) -> None:
+    """Hangs subtrees below the leaves of the trees; only tree nodes reach the driver, never rows."""
+    for r in sorted(grown.collect(), key=lambda r: (r.d, r.leaf)):
+        tree, centre = trees[r.d], np.array(r.centres).reshape(-1, r.d)
+        at = {0: r.leaf} | {i: tree.add(centre[i]) for i in range(1, len(r.left))}
+        for i, (a, b) in enumerate(zip(r.left, r.right)):
+            if a >= 0:
+                tree.left[at[i]], tree.right[at[i]] = at[a], at[b]
+
+
 def _leaf_stats(shared):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows, sum and sum of squares of each leaf."""
@@ -202,11 +230,10 @@ def fit(rows: DataFrame, leaf_rows: int = LEAF_ROWS, compact: float = COMPACT, s
                     coin = pd.util.hash_array(part.node_id.to_numpy()[r] ^ (turn << 50)).astype(np.float64) / 2.0**64
                     got = np.flatnonzero(coin < chance)
                     if len(got):
-                        yield pd.DataFrame({"d": d, "leaf": at[got], "feat": part.feat.to_numpy()[r[got]]})
+                        yield pd.DataFrame({"d": d, "leaf": at[got], "node_id": part.node_id.to_numpy()[r[got]], "feat": part.feat.to_numpy()[r[got]]})
 
-        more = rows.select("node_id", "d", "feat").mapInPandas(pick, "d int, leaf int, feat array<float>").toPandas()  # bounded by each * leaves
-        for (d, leaf), g in more.groupby(["d", "leaf"]):
-            grow(trees[d], int(leaf), vectors.stack(g.feat), size[d, leaf] / len(g), leaf_rows, compact, seed + turn)
+        more = rows.select("node_id", "d", "feat").mapInPandas(pick, "d int, leaf int, node_id long, feat array<float>")
+        _graft(trees, more.groupBy("d", "leaf").applyInPandas(_grow_each(size, leaf_rows, compact, seed + turn), _GROWN))
         if sum(len(t.left) for t in trees.values()) == before:
             break
     return trees, table
@@ -322,6 +349,11 @@ def linked(rows: DataFrame, reach: float = 2.5, least: int = 5, leaf_rows: int =
     ties = met.filter("sure").select("a", "b")
     doubtful = met.filter("not sure").select("a", "b").distinct()
     if not doubtful.isEmpty():
+        # members are compared only where nothing joins two knots so far, by whatever way
+        joined = cut(components(ties))
+        sides = [joined.select(F.col("id").alias(x), F.col("component").alias("c" + x)) for x in "ab"]
+        apart = ~F.coalesce("ca", "a").eqNullSafe(F.coalesce("cb", "b"))
+        doubtful = cut(doubtful.join(sides[0], "a", "left").join(sides[1], "b", "left").filter(apart).select("a", "b"))
         one = doubtful.join(members.select(F.col("knot").alias("a"), "vec"), "a")
         two = doubtful.select(F.col("a").alias("a2"), F.col("b").alias("b2")).join(members.select(F.col("knot").alias("b2"), F.col("vec").alias("vec2")), "b2")
         one, two = one.select("a", "b", F.col("vec").alias("vec1")), two.select("a2", "b2", "vec2")
@@ -445,9 +477,8 @@ def fit_whole(rows: DataFrame, leaf_rows: int = LEAF_ROWS, compact: float = COMP
                     if len(got):
                         yield pd.DataFrame({"d": d, "leaf": at[got], "node_id": ids[got], "feat": part.feat.to_numpy()[r[got]]})
 
-        drawn = rows.select("node_id", "d", "feat").mapInPandas(pick, "d int, leaf int, node_id long, feat array<float>").toPandas()  # bounded by each * leaves
-        for (d, leaf), g in drawn.sort_values("node_id").groupby(["d", "leaf"]):
-            grow(trees[d], int(leaf), vectors.stack(g.feat), size[d, leaf] / len(g), leaf_rows, compact, seed + turn)
+        drawn = rows.select("node_id", "d", "feat").mapInPandas(pick, "d int, leaf int, node_id long, feat array<float>")
+        _graft(trees, drawn.groupBy("d", "leaf").applyInPandas(_grow_each(size, leaf_rows, compact, seed + turn), _GROWN))
         unsplit = {key: means[key][1] for key in size if trees[key[0]].left[key[1]] < 0}
         if unsplit:
             ends = rows.select("d", "feat").mapInPandas(_farthest(shared, unsplit), "d int, leaf int, away double, feat array<float>")
