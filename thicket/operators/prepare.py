@@ -41,10 +41,9 @@ def split(samples: DataFrame, share: float, seed: int = 1) -> tuple[DataFrame, D
 
 
 def _marked(samples: DataFrame, share: float, seed: int) -> DataFrame:
-    sizes = samples.groupBy(F.col("truelabel").alias("_l")).agg(F.greatest(F.floor(F.count("*") * F.lit(share)), F.lit(1)).alias("_quota"))
-    order = Window.partitionBy("truelabel").orderBy(shuffle_key(seed), "position")
-    ranked = samples.withColumn("_rank", F.row_number().over(order))
-    return ranked.join(sizes, F.col("truelabel").eqNullSafe(F.col("_l"))).withColumn("_first", F.col("_rank") <= F.col("_quota")).drop("_l", "_quota", "_rank")
+    quota = F.greatest(F.floor(F.count("*").over(Window.partitionBy("truelabel")) * F.lit(share)), F.lit(1))
+    rank = F.row_number().over(Window.partitionBy("truelabel").orderBy(shuffle_key(seed), "position"))
+    return samples.withColumns({"_quota": quota, "_rank": rank}).withColumn("_first", F.col("_rank") <= F.col("_quota")).drop("_quota", "_rank")
 
 
 def split3(samples: DataFrame, train: float, evaluate: float, test: float, seed: int = 1, scale: bool = False) -> DataFrame:
