@@ -286,11 +286,13 @@ def _asked(queries: DataFrame) -> DataFrame:
     return queries.filter("k > 0").select("probe_id", "node_id", "d", "feat", F.col("k").cast("int").alias("k")).dropDuplicates(["probe_id"])
 
 
-def candidates(index: Index, queries: DataFrame) -> DataFrame:
-    """``probe_id, k, node_id, distance`` of what the footrule puts first, with true distances; redelivered rows repeat."""
-    posted, spark = index.posted, queries.sparkSession
+def candidates(index: Index, asks: DataFrame) -> DataFrame:
+    """``probe_id, k, node_id, distance`` of what the footrule puts first, with true distances; redelivered rows repeat.
+
+    ``asks`` are queries as ``_asked`` gives them.
+    """
+    posted, spark = index.posted, asks.sparkSession
     shared = spark.sparkContext.broadcast(index.pivots)
-    asks = _asked(queries)
     sizes = posted.select("d", "node_id", "perm").mapInPandas(_entries({}), _ENTRY).groupBy("d", "pivot").count().collect()  # FILES * MAX_PIVOTS rows a width at most
     salts = {(r.d, r.pivot): -(-r["count"] // index.block) for r in sizes if r["count"] > index.block}
     went = cut(asks.mapInPandas(_asks(shared, salts), _ASK))
@@ -333,7 +335,8 @@ def neighbours(index: DataFrame, queries: DataFrame, per_root: float = PIVOTS_PE
     built = build(index, per_root, block, seed)
     if built is None:
         return spark.createDataFrame([], "probe_id long, node_id long, distance double, rank int")
-    near = _nearest_k(candidates(built, queries))
+    asks = cut(_asked(queries))
+    near = _nearest_k(candidates(built, asks))
     if not exact:
         return near.select("probe_id", "node_id", "distance", "rank")
     near = cut(near)
@@ -341,7 +344,7 @@ def neighbours(index: DataFrame, queries: DataFrame, per_root: float = PIVOTS_PE
     book = spark.sparkContext.broadcast((built.pivots, files))
     # bounds only where k candidates were found
     limits = near.filter("rank = k").select("probe_id", F.col("distance").alias("limit"))
-    visits = _asked(queries).join(limits, "probe_id", "left").withColumn("limit", F.coalesce("limit", F.lit(float("inf")))).mapInPandas(_visits(book), _VISIT)
+    visits = asks.join(limits, "probe_id", "left").withColumn("limit", F.coalesce("limit", F.lit(float("inf")))).mapInPandas(_visits(book), _VISIT)
     shared_boxes = [(d, b, n) for d, f in files.items() for (_, b), n in f["salts"].items()]
     salts = spark.createDataFrame(shared_boxes, "d int, box int, salts int")
     boxed = built.posted.withColumn("box", _box(F.col("cell"), _ring(scale)))
