@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE_DOCS, SAMPLE_CHARS, EPOCHS, KNOWN = 1500, 6000, 6, 300_000
+SAMPLE_DOCS, SAMPLE_CHARS, EPOCHS, KNOWN = 700, 6000, 4, 300_000
 
 #: Fixed values of the conventions: abbreviations that end nothing, in no case followed by a new sentence.
 ABBREVIATIONS = frozenset(
