@@ -25,6 +25,11 @@ LOCAL_ROWS, LOCAL_EDGES = 4000, 1_000_000
 _EDGE = "a long, b long, d double"
 
 
+def all_rows(m: Distance, x: np.ndarray) -> np.ndarray:
+    """All distances, in blocks of rows; at most LOCAL_ROWS squared of them."""
+    return np.concatenate([m.block(x[lo : lo + 128], x) for lo in range(0, len(x), 128)])
+
+
 def grow_tree(ids: np.ndarray, row) -> pd.DataFrame:
     """Tree by growing from the first row; ``row(p)`` gives all distances of row p."""
     n = len(ids)
@@ -69,7 +74,7 @@ def spanning_tree(samples: DataFrame, metric: str | Distance = "euclid_log", dis
             if got:
                 pdf = pd.concat(got).sort_values("position")
                 x = matrix(pdf.feat)
-                yield grow_tree(pdf.position.to_numpy(np.int64), lambda p: m.block(x[p : p + 1], x)[0])
+                yield grow_tree(pdf.position.to_numpy(np.int64), all_rows(m, x).__getitem__)
 
         return slim.coalesce(1).mapInPandas(grow, _EDGE)
     return _boruvka(slim, lambda comp: _least_block(slim.join(comp, "position"), m, block))

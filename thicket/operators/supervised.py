@@ -14,7 +14,7 @@ from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, St
 from thicket.functions.distances import Distance, distance
 from thicket.operators import evaluate, hierarchy, prepare
 from thicket.operators.pairwise import BLOCK, held, matrix, meet
-from thicket.operators.spanning import LOCAL_ROWS, flood, grow_tree, minimax, prototypes, spanning_tree
+from thicket.operators.spanning import LOCAL_ROWS, all_rows, flood, grow_tree, minimax, prototypes, spanning_tree
 from thicket.plans.runtime import cut, numbered
 
 METRIC = "euclid_log"
@@ -39,7 +39,7 @@ def _train(m: Distance):
             return
         pdf = pd.concat(got).drop_duplicates("position").sort_values("position").reset_index(drop=True)
         x, ids, y = matrix(pdf.feat), pdf.position.to_numpy(np.int64), pdf.truelabel.to_numpy()
-        tree = grow_tree(ids, lambda p: m.block(x[p : p + 1], x)[0])
+        tree = grow_tree(ids, all_rows(m, x).__getitem__)
         a, b = np.searchsorted(ids, tree.a), np.searchsorted(ids, tree.b)
         across = y[a] != y[b]
         seeds = pd.DataFrame({"a": np.unique(np.concatenate([ids[a[across]], ids[b[across]]])), "b": np.nan, "d": 0.0})
