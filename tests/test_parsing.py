@@ -39,3 +39,13 @@ def test_clashing_columns_and_repeats(spark):
     meta = spark.createDataFrame([(1, 2, 5, 7)], "subgraph_id long, nfeats int, nlabels int, line int")
     assert [tuple(r) for r in parsing.rejected(raw, meta).collect()] == [(2, "columns")]
     assert parsing.strict_load(raw, meta).count() == 2
+
+
+def test_lines_of_very_many_fields(spark):
+    n = 30_000
+    sub = spark.createDataFrame([(1, n, 3)], "subgraph_id long, nfeats int, nlabels int")
+    rows = [(1, 1, "txt", "7 2 " + "1.5 " * n), (2, 1, "csv", '7, "2" ,note' + ',"-.5e1"' * n), (3, 1, "csv", "7,2,note" + ",1e39" * n), (4, 1, "txt", "7 2 " + "1.5 " * (n - 1) + "x")]
+    raw = spark.createDataFrame(rows, "raw_id long, subgraph_id long, fmt string, line string")
+    got = {r.raw_id: (r.truelabel, len(r.feat), r.feat[-1]) for r in parsing.strict_load(raw, sub).collect()}
+    assert got == {1: (2, n, 1.5), 2: (2, n, -5.0)}
+    assert {tuple(r) for r in parsing.rejected(raw, sub).collect()} == {(3, "feature"), (4, "feature")}

@@ -21,9 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The largest 32-bit float, and the patterns of an ASCII decimal number and integer.
+#: The largest 32-bit float, and the pattern of an ASCII integer.
 FLOAT_MAX = 3.4028234663852886e38
-NUMBER = r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
 DIGITS = r"[0-9]+"
 #: One csv field: no quote at all, or wholly enclosed with inner quotes doubled.
 #: Possessive, so that Java matches iteratively: long fields need no stack.
@@ -31,6 +30,19 @@ BARE, QUOTED = r'[^",]*+', r'[ \t]*+"(?:[^"]++|"")*+"[ \t]*+'
 #: Both patterns are applied to the line with a comma put before it.
 CSV_LINE = rf"(?s)\A(?:,(?:{QUOTED}|{BARE}))*+\z"
 CSV_FIELD = rf"(?s),({QUOTED}|{BARE})"
+#: Patterns of an ASCII decimal number and integer, possessive.
+_NUM, _INT = r"[+-]?+(?:[0-9]++\.?+[0-9]*+|\.[0-9]++)(?:[eE][+-]?+[0-9]++)?+", "[0-9]++"
+
+
+def _maybe_quoted(pattern: str) -> str:
+    return rf'[ \t]*+(?:{pattern}|"{pattern}")[ \t]*+'
+
+
+#: A conforming line, but for its width and the size of its values.
+TXT_GOOD = rf"\A[ \t]*+{_INT}[ \t]++{_INT}(?:[ \t]++{_NUM})*+[ \t]*+\z"
+CSV_GOOD = rf"\A,{_maybe_quoted(_INT)},{_maybe_quoted(_INT)},(?:{QUOTED}|{BARE})(?:,{_maybe_quoted(_NUM)})*+\z"
+#: Without an exponent or 38 digits in a row no number exceeds a 32-bit float.
+LARGE = "[eE]|[0-9]{38}"
 
 
 def _prepared(raw: DataFrame, subgraph: DataFrame) -> DataFrame:
@@ -72,10 +84,6 @@ def _with_fields(lines: DataFrame) -> DataFrame:
     return lines.withColumn("fields", fields).withColumn("feats", F.slice("fields", first, F.greatest(F.size("fields"), F.lit(0))))
 
 
-def _number_ok(part: Column) -> Column:
-    return part.rlike(rf"\A{NUMBER}\z") & (F.abs(part.try_cast("double")) <= FLOAT_MAX)
-
-
 def _label_ok(label: Column) -> Column:
     value = label.try_cast("decimal(38,0)")
     tall = F.length(F.regexp_replace(label, "^0+", "")) > 18
@@ -97,13 +105,10 @@ def strict_load(raw: DataFrame, subgraph: DataFrame) -> DataFrame:
 
 
 def _loaded(lines: DataFrame) -> DataFrame:
-    shaped = _with_fields(lines.filter(~F.col("is_csv") | _csv_ok(F.col("body"))))
-    good = (
-        _width_ok()
-        & F.element_at("fields", 1).rlike(rf"\A{DIGITS}\z")
-        & _label_ok(F.element_at("fields", 2))
-        & F.forall("feats", _number_ok)
-    )
+    conforms = F.when(F.col("is_csv"), F.concat(F.lit(","), F.col("body")).rlike(CSV_GOOD)).otherwise(F.col("body").rlike(TXT_GOOD))
+    shaped = _with_fields(lines.filter(conforms))
+    in_range = ~F.col("body").rlike(LARGE) | F.forall("feats", lambda v: F.abs(v.try_cast("double")) <= FLOAT_MAX)
+    good = _width_ok() & _label_ok(F.element_at("fields", 2)) & in_range
     # a case: element_at must not run on lines that are too short
     return shaped.filter(F.when(_width_ok(), good).otherwise(False)).select(
         "raw_id",
