@@ -67,13 +67,13 @@ def _csv_ok(body: Column) -> Column:
 
 
 def _unquoted(part: Column) -> Column:
-    trimmed = F.regexp_replace(part, r"^[ \t]+|[ \t]+$", "")
+    trimmed = F.btrim(part, F.lit(" \t"))
     inner = F.regexp_replace(F.regexp_replace(trimmed, r'(?s)\A"(.*)"\z', "$1"), '""', '"')
     return F.when(trimmed.startswith('"'), inner).otherwise(trimmed)
 
 
 def _txt_fields(body: Column) -> Column:
-    trimmed = F.regexp_replace(body, r"^[ \t]+|[ \t]+$", "")
+    trimmed = F.btrim(body, F.lit(" \t"))
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[ \t]+"))
 
 
